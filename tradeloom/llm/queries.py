@@ -6,13 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.functions.ids import member_id
-from tradeloom.llm import mixture, nearest_time, survivorship, tokens
+from tradeloom.llm import canonical, mixture, nearest_time, survivorship, tokens
 from tradeloom.session import table
 
 FIELDS = ("filing_date", "filing_type", "full_name", "state", "n_trades")
 TEN_DAYS = 864_000
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.map_values(table(spark, sf_dir, "ocr_lines_2022"), "line_no", "asset_description", table(spark, sf_dir, "asset_reference"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("line_no", "asset_id")
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "ocr_lines_2022").select("line_no", "asset_description")
+    return _mapped(spark, sf_dir).where("asset_id = 0").join(lines, "line_no").select("line_no", "asset_description", "score")
+
+
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = survivorship.filing_key(F.col("filing_id"), F.col("doc_url"))
     return survivorship.survivors(table(spark, sf_dir, "filing_records"), key, "record_no", FIELDS, "source_id", "ingested_at", table(spark, sf_dir, "source_trust"))
@@ -47,7 +60,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_surviving_records, p5_found, p7_ids, p8_mixture, p8_report)}
+    return {f.__name__: f for f in (p3_found, p3_unmatched, p4_found, p4_surviving_records, p5_found, p7_ids, p8_mixture, p8_report)}
 
 
 _SAYS = "coalesce(regexp_replace(lower(CAST({0} AS VARCHAR)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{w}'" for w in survivorship.FILLERS) + "), false)"
