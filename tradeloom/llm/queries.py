@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradeloom.functions.ids import member_id
-from tradeloom.llm import canonical, mixture, nearest_time, survivorship, tokens
+from tradeloom.llm import canonical, entities, mixture, nearest_time, subjects, survivorship, tokens
 from tradeloom.session import table
 
 FIELDS = ("filing_date", "filing_type", "full_name", "state", "n_trades")
 TEN_DAYS = 864_000
 
 
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.match_trades(*(table(spark, sf_dir, t) for t in ("quiver_missing_trades", "disclosures", "members", "asset_reference")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).select("vendor_no", "txn_id")
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.map_values(table(spark, sf_dir, "ocr_lines_2022"), "line_no", "asset_description", table(spark, sf_dir, "asset_reference"))
 
@@ -59,8 +67,22 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_report(mixture.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects_of(*(table(spark, sf_dir, t) for t in ("documents", "doc_labels", "subject_areas")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+    by = _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("words").alias("words"))
+    return by.crossJoin(F.broadcast(n)).select("subject", "documents", (F.col("documents") / F.col("n")).alias("share_of_documents"), "words")  # n: one row
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_unmatched, p4_found, p4_surviving_records, p5_found, p7_ids, p8_mixture, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_unmatched, p4_found, p4_surviving_records, p5_found, p7_ids, p8_mixture, p8_report, p9_found, p9_composition)}
 
 
 _SAYS = "coalesce(regexp_replace(lower(CAST({0} AS VARCHAR)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{w}'" for w in survivorship.FILLERS) + "), false)"
