@@ -19,7 +19,7 @@ from tradeloom.session import checkpointed
 #: Log odds of a pair by how it agrees: fixed values, set from the meaning of the fields, not fitted.
 BASE, NEAR, SWAPPED, OTHER_YEAR = -2.0, (4.0, 4.0, 3.5, 3.0, 3.0, 3.0), 2.5, 1.5
 FILED_SAME, FILED_CLOSE, FILED_OTHER, FILED_OTHER_FAR = 3.0, 2.5, -1.5, -4.0
-AMOUNT_FITS, AMOUNT_CLASHES, SIDE_SAME, SIDE_OTHER, ASSET_UNKNOWN, BY_NAME = 1.0, -2.0, 1.0, -6.0, -2.5, -0.5
+AMOUNT_FITS, AMOUNT_CLASHES, SIDE_SAME, SIDE_OTHER, ASSET_UNKNOWN, BY_NAME = 1.0, -2.0, 1.0, -6.0, -3.5, -0.5
 #: Days by which a date may be inexact, and the width of the spans of days used as blocking keys.
 SLACK, SPAN = 5, 8
 #: Titles and suffixes of names.
@@ -155,7 +155,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
     p = kept(left, "i", left_keys).join(kept(right, "j", right_keys), F.col("ikey") == F.col("jkey"))
     both = F.col("iasset").isNotNull() & F.col("jasset").isNotNull()
-    p = p.where((F.col("imember") == F.col("jmember")) & (~both | (F.col("iasset") == F.col("jasset"))))
+    # a left record without an asset may mean any; a right one without a listed asset means none that the left names
+    p = p.where((F.col("imember") == F.col("jmember")) & (F.col("iasset").isNull() | (F.col("iasset") == F.col("jasset"))))
     gap = F.abs(F.col("iday") - F.col("jday"))
     mid = _swapped(F.col("iday")) == F.col("jday")
     year = (_year_off(F.col("iday"), 1) == F.col("jday")) | (_year_off(F.col("iday"), -1) == F.col("jday"))
