@@ -3,13 +3,13 @@
 Repeats on either side first fall together into classes of records that say the same. Classes meet through blocking keys (member, asset and a
 span of days, with the ways in which a date goes wrong), and every candidate pair gets odds from how its attributes agree. A class on one side
 can be at most one class on the other: loopy belief propagation with these one-to-one factors passes messages along the candidate pairs,
-each round two aggregations and joins, until they settle, and gives each pair its marginal probability. Pairs without a rival are settled
+each round joining the messages at both ends, until they settle, and gives each pair its marginal probability. Pairs without a rival are settled
 at once; only contested ones take part in the rounds. Matched classes then give all their records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions.ids import member_id
@@ -180,17 +180,15 @@ def propagate(edges: DataFrame, rounds: int = 40, tolerance: float = 1e-4) -> Da
     Messages are odds: a node tells an edge 1 / (1 + the sum over its other edges of their odds and the other end's message). score is the log
     odds of the edge on its own. Rounds end when no message changes by more than the tolerance; each round is checkpointed.
     """
+    of_i, of_j = Window.partitionBy("i"), Window.partitionBy("j")
     e = edges.select("i", "j", F.exp(F.least("score", F.lit(30.0))).alias("r"))
-    counted = e.join(e.groupBy("i").agg(F.count(F.lit(1)).alias("ni")), "i").join(e.groupBy("j").agg(F.count(F.lit(1)).alias("nj")), "j")
-    counted = checkpointed(counted)
+    counted = checkpointed(e.withColumn("ni", F.count(F.lit(1)).over(of_i)).withColumn("nj", F.count(F.lit(1)).over(of_j)))
     alone = (F.col("ni") == 1) & (F.col("nj") == 1)
     settled = counted.where(alone).select("i", "j", (F.col("r") / (1 + F.col("r"))).alias("p"))
-    m = checkpointed(counted.where(~alone).select("i", "j", "r", F.lit(1.0).alias("a"), F.lit(1.0).alias("b")))
+    m = counted.where(~alone).select("i", "j", "r", F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
+    told = lambda own, w: 1 / (1 + F.greatest(F.sum(F.col("r") * F.col(own)).over(w) - F.col("r") * F.col(own), F.lit(0.0)))
     for _ in range(rounds):
-        of_i = m.groupBy("i").agg(F.sum(F.col("r") * F.col("b")).alias("s"))
-        n = m.join(of_i, "i").withColumn("a2", 1 / (1 + F.greatest(F.col("s") - F.col("r") * F.col("b"), F.lit(0.0)))).drop("s")
-        of_j = n.groupBy("j").agg(F.sum(F.col("r") * F.col("a2")).alias("s"))
-        n = n.join(of_j, "j").withColumn("b2", 1 / (1 + F.greatest(F.col("s") - F.col("r") * F.col("a2"), F.lit(0.0))))
+        n = m.withColumn("a2", told("b", of_i)).withColumn("b2", told("a2", of_j))
         n = checkpointed(n.select("i", "j", "r", F.col("a2").alias("a"), F.col("b2").alias("b"), F.greatest(F.abs(F.col("a2") - F.col("a")), F.abs(F.col("b2") - F.col("b"))).alias("moved")))
         moved = n.agg(F.max("moved")).first()[0]
         m = n.drop("moved")
@@ -220,7 +218,7 @@ def match_trades(vendor: DataFrame, ours: DataFrame, members: DataFrame, referen
         _days(F.col("disclosure_date")).alias("filed"), F.coalesce(bound(0), F.col("amount_midpoint").cast("double")).alias("low"),
         F.coalesce(bound(1), F.when(bound(0).isNotNull(), F.lit(1e12)), F.col("amount_midpoint").cast("double")).alias("high"),
     )
-    (vc, vi), (dc, di) = _classes(v), _classes(d)
+    (vc, vi), (dc, di) = _classes(checkpointed(v)), _classes(checkpointed(d))
     p = propagate(checkpointed(candidate_pairs(vc, dc))).where(F.col("p") >= least)
     vi, di = vi.select(F.col("class").alias("i"), F.col("id").alias("vendor_no")), di.select(F.col("class").alias("j"), F.col("id").alias("txn_id"))
     return p.join(vi, "i").join(di, "j").select("vendor_no", "txn_id", F.col("p").alias("confidence"))
