@@ -67,12 +67,17 @@ def resolve_names(names: DataFrame, members: DataFrame) -> DataFrame:
     return ranked.where(alone).select("name", F.col("b.member").alias("member"))
 
 
+def _spread_nulls(key: Column, by: Column) -> Column:
+    """A join key that no row of the other side has in place of null, else all rows without a key would meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\n"), F.xxhash64(by).cast("string")))
+
+
 def with_member(rows: DataFrame, id_column: str, name_column: str, members: DataFrame) -> DataFrame:
     """rows with member and by_name: from the id however it is spelt, else from the name."""
     rows = rows.withColumn("own__", member_id(F.col(id_column)))
     asked = rows.where(F.col("own__").isNull() & F.col(name_column).isNotNull()).select(F.col(name_column).alias("name")).distinct()
     found = resolve_names(asked, members).select(F.col("name").alias("n__"), F.col("member").alias("m__"))
-    lookup = F.when(F.col("own__").isNull(), F.col(name_column))
+    lookup = _spread_nulls(F.when(F.col("own__").isNull(), F.col(name_column)), F.col(rows.columns[0]))
     rows = rows.join(found, lookup == F.col("n__"), "left")
     return rows.withColumn("member", F.coalesce("own__", "m__")).withColumn("by_name", F.col("own__").isNull()).drop("own__", "n__", "m__")
 
@@ -100,8 +105,8 @@ def with_asset(rows: DataFrame, symbol: str, description: str | None, reference:
     if description is not None:
         code = symbol_key(F.regexp_extract(F.col(description), r"\(([A-Z][A-Z0-9.]{0,6})\)\s*$", 1))
         alias = F.coalesce(own, code, F.concat(F.lit("name:"), asset_phrase(F.col(description))))
-    rows = rows.withColumn("a__", alias).join(known.select(F.col("alias").alias("k__"), F.col("asset").alias("c__")), F.col("a__") == F.col("k__"), "left")
-    return rows.withColumn("asset", F.coalesce("c__", F.when(~F.col("a__").startswith("name:"), F.col("a__")))).drop("a__", "k__", "c__")
+    rows = rows.withColumn("a__", _spread_nulls(alias, F.col(rows.columns[0]))).join(known.select(F.col("alias").alias("k__"), F.col("asset").alias("c__")), F.col("a__") == F.col("k__"), "left")
+    return rows.withColumn("asset", F.coalesce("c__", F.when(~F.col("a__").startswith("name:") & ~F.col("a__").startswith("\n"), F.col("a__")))).drop("a__", "k__", "c__")
 
 
 def _days(c: Column) -> Column:
