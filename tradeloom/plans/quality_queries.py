@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 from tradeloom.functions import scalars as S
 from tradeloom.operators import dedup as D
 from tradeloom.operators import quality as A
+from tradeloom.plans.registry import Registry
 from tradeloom.session import table
 
-Q, O = {}, {}
-
-
-def query(name: str, sql: str):
-    def keep(f):
-        Q[name], O[name] = f, sql
-        return f
-
-    return keep
+query = Registry()
 
 
 def _ours(spark, d):
@@ -133,7 +126,7 @@ def delay_outliers(spark, d):
 
 @query("amount_distribution", """
 SELECT chamber, count(amount_midpoint) AS n, avg(amount_midpoint) AS mean, stddev_samp(amount_midpoint) AS std, min(amount_midpoint) AS min, quantile_cont(amount_midpoint, 0.25) AS p25,
-  quantile_cont(amount_midpoint, 0.5) AS p50, quantile_cont(amount_midpoint, 0.75) AS p75, quantile_cont(amount_midpoint, 0.9) AS p90, max(amount_midpoint) AS max FROM disclosures GROUP BY chamber""")
+  quantile_cont(amount_midpoint, 0.5) AS p50, quantile_cont(amount_midpoint, 0.75) AS p75, quantile_cont(amount_midpoint, 0.9) AS p90, max(amount_midpoint) AS max FROM disclosures GROUP BY chamber""", "mean std p25 p50 p75 p90")
 def amount_distribution(spark, d):
     return A.describe(_ours(spark, d), "amount_midpoint", ["chamber"])
 
@@ -233,14 +226,14 @@ def tickers_per_sector(spark, d):
 @query("concentration", """
 WITH v AS (SELECT chamber, bioguide_id, sum(amount_midpoint) AS v FROM disclosures WHERE bioguide_id IS NOT NULL GROUP BY ALL HAVING sum(amount_midpoint) > 0),
 r AS (SELECT *, sum(v) OVER (PARTITION BY chamber) AS t, row_number() OVER (PARTITION BY chamber ORDER BY v, bioguide_id) AS i, row_number() OVER (PARTITION BY chamber ORDER BY v DESC, bioguide_id) AS k FROM v)
-SELECT chamber, count(*) AS holders, sum((v / t) ** 2) * 10000 AS hhi, 2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*) AS gini, sum(v) FILTER (k <= 10) / sum(v) AS top10_share FROM r GROUP BY chamber""")
+SELECT chamber, count(*) AS holders, sum((v / t) ** 2) * 10000 AS hhi, 2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*) AS gini, sum(v) FILTER (k <= 10) / sum(v) AS top10_share FROM r GROUP BY chamber""", "hhi gini top10_share")
 def concentration(spark, d):
     return A.concentration(_ours(spark, d), "chamber", "bioguide_id", "amount_midpoint")
 
 
 @query("lorenz", """
 WITH v AS (SELECT bioguide_id, sum(amount_midpoint) AS v FROM disclosures WHERE bioguide_id IS NOT NULL GROUP BY ALL HAVING sum(amount_midpoint) > 0)
-SELECT bioguide_id, row_number() OVER (ORDER BY v, bioguide_id) / count(*) OVER () AS holders_share, sum(v) OVER (ORDER BY v, bioguide_id ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS volume_share FROM v""")
+SELECT bioguide_id, row_number() OVER (ORDER BY v, bioguide_id) / count(*) OVER () AS holders_share, sum(v) OVER (ORDER BY v, bioguide_id ROWS UNBOUNDED PRECEDING) / sum(v) OVER () AS volume_share FROM v""", "volume_share")
 def lorenz(spark, d):
     return A.lorenz(_ours(spark, d), "bioguide_id", "amount_midpoint")
 
@@ -284,7 +277,7 @@ def cleaning_funnel(spark, d):
     return A.cleaning_funnel(_ours(spark, d))
 
 
-@query("latency", f"SELECT median(lag_days) AS median, quantile_cont(lag_days, 0.9) AS p90, avg(CASE WHEN lag_days <= 45 THEN 1.0 ELSE 0 END) AS within_45 FROM {_LAG} WHERE lag_days >= 0 AND lag_days < 400")
+@query("latency", f"SELECT median(lag_days) AS median, quantile_cont(lag_days, 0.9) AS p90, avg(CASE WHEN lag_days <= 45 THEN 1.0 ELSE 0 END) AS within_45 FROM {_LAG} WHERE lag_days >= 0 AND lag_days < 400", "median p90 within_45")
 def latency(spark, d):
     lag = F.col("lag_days")
     x = A.with_lag(_ours(spark, d)).where((lag >= 0) & (lag < 400))
@@ -309,8 +302,8 @@ def approximate_counts(spark, d):
 
 
 def queries() -> dict:
-    return dict(Q)
+    return dict(query.found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(O)
+    return dict(query.sql)

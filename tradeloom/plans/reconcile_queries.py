@@ -5,21 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeloom.operators import reconcile as R
+from tradeloom.plans.registry import Registry
 from tradeloom.session import table
 
-Q, O = {}, {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        Q[name] = f
-        if sql:
-            O[name] = _WITH + sql
-        return f
-
-    return keep
-
-
 _TK = "CASE WHEN upper(trim(coalesce(ticker, ''))) IN ('', 'NAN', 'NONE', '--') THEN '' ELSE replace(replace(regexp_replace(upper(trim(ticker)), '\\s+(PUT|CALL)$', ''), '.', '_'), '-', '_') END"
 _S = "CASE left(lower(trim(coalesce({0}, 'none'))), 1) WHEN 'p' THEN 'Purchase' WHEN 's' THEN 'Sale' WHEN 'e' THEN 'Exchange' WHEN '' THEN '?' ELSE lower(trim(coalesce({0}, 'none'))) END"
 _WITH = f"""
@@ -33,6 +21,9 @@ _UNTRADEABLE = "(tk = '' OR regexp_matches(tk, '[ :/$]|MATUR|WEEK|MONTH') OR len
 _EXACT, _UNDATED, _UNTICKERED = (f"EXISTS (SELECT 1 FROM {{0}} y WHERE y.member = x.member AND {c})" for c in ("y.tk = x.tk AND y.d IS NOT DISTINCT FROM x.d AND y.s = x.s", "y.tk = x.tk AND y.s = x.s", "y.d IS NOT DISTINCT FROM x.d AND y.s = x.s"))
 
 
+query = Registry(_WITH)
+
+
 def _sides(spark, d):
     return R.our_keys(table(spark, d, "disclosures")), R.vendor_keys(table(spark, d, "quiver_missing_trades"))
 
@@ -121,8 +112,7 @@ def cell_agreement(spark, d):
 
 
 @query("weighted_agreement", """
-, j AS (SELECT o.chamber, count(*) AS n, avg((o.s = v.s)::INT) AS p FROM o JOIN v ON o.member = v.member AND o.tk = v.tk AND o.d = v.d WHERE o.tk <> '' GROUP BY 1)
-SELECT sum(p * n) / sum(n) AS sense, CAST(sum(n) AS BIGINT) AS pairs FROM j""")
+SELECT sum(p * n) / sum(n) AS sense, CAST(sum(n) AS BIGINT) AS pairs FROM (SELECT o.chamber, count(*) AS n, avg((o.s = v.s)::INT) AS p FROM o JOIN v ON o.member = v.member AND o.tk = v.tk AND o.d = v.d WHERE o.tk <> '' GROUP BY 1)""", "sense")
 def weighted_agreement(spark, d):
     o, v = _sides(spark, d)
     j = o.where("tk <> ''").join(v.select("member", "tk", "d", F.col("s").alias("vs")), ["member", "tk", "d"])
@@ -205,8 +195,8 @@ def vendor_chamber_filter(spark, d):
 
 
 def queries() -> dict:
-    return dict(Q)
+    return dict(query.found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(O)
+    return dict(query.sql)

@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeloom.functions import scalars as S
+from tradeloom.plans.registry import Registry
 from tradeloom.session import table
 
-Q, O = {}, {}
-
-
-def query(name: str, sql: str):
-    def keep(f):
-        Q[name], O[name] = f, sql
-        return f
-
-    return keep
+query = Registry()
 
 
 def _case(column: str, pairs, default: str) -> str:
@@ -291,8 +284,8 @@ def example_row(spark, d):
 
 
 def queries() -> dict:
-    return dict(Q)
+    return dict(query.found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(O)
+    return dict(query.sql)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +26,16 @@ def local_session(cpus: str | int = "*", memory: str = "8g", partitions: int = 8
     return spark
 
 
+def workers_find_us(spark: SparkSession) -> None:
+    """Lets Python workers that start from now on import this package from where the driver has it."""
+    home, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_find_us(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
