@@ -25,8 +25,9 @@ def dense_returns(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     grid = prices.select("ticker").distinct().crossJoin(calendar)  # tickers x days is the size of the result
     x = grid.join(prices.select("ticker", "date", "close"), ["ticker", "date"], "left")
     prior = F.lag("close").over(Window.partitionBy("ticker").orderBy("idx"))
-    r = F.greatest(F.least(F.try_divide(F.col("close"), prior) - 1, F.lit(CLIP)), F.lit(-CLIP))
-    return x.select("ticker", "idx", "date", F.coalesce(r, F.lit(0.0)).alias("r"))
+    raw = F.try_divide(F.col("close"), prior) - 1
+    r = F.when(raw.isNull(), 0.0).otherwise(F.greatest(F.least(raw, F.lit(CLIP)), F.lit(-CLIP)))  # least and greatest pass over nulls
+    return x.select("ticker", "idx", "date", r.alias("r"))
 
 
 def on_or_after(calendar: DataFrame, keys: list[str]) -> DataFrame:

@@ -26,7 +26,7 @@ tr AS (SELECT q.trade_id, q.member, q.ticker, q.exit, q.entry, q.size_usd, CASE
     CASE WHEN z.date > a.date THEN date_diff('day', a.date, z.date) END AS hold_days
   FROM pos q ASOF LEFT JOIN p a ON a.ticker = q.ticker AND a.date >= q.entry + INTERVAL 1 DAY ASOF LEFT JOIN p z0 ON z0.ticker = q.ticker AND z0.date >= q.exit
   LEFT JOIN (SELECT ticker, max(date) AS date FROM p GROUP BY 1) l ON l.ticker = q.ticker LEFT JOIN p z ON z.ticker = q.ticker AND z.date = coalesce(z0.date, l.date) LEFT JOIN b ba ON ba.date = a.date LEFT JOIN b bz ON bz.date = z.date),
-r AS (SELECT ticker, idx, date, coalesce(greatest(least(close / lag(close) OVER (PARTITION BY ticker ORDER BY idx) - 1, 0.5), -0.5), 0) AS r FROM (SELECT DISTINCT ticker FROM p) CROSS JOIN cal LEFT JOIN p USING (ticker, date)),
+r AS (SELECT ticker, idx, date, CASE WHEN x IS NULL THEN 0 WHEN x > 0.5 THEN 0.5 WHEN x < -0.5 THEN -0.5 ELSE x END AS r FROM (SELECT ticker, idx, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY idx) - 1 AS x FROM (SELECT DISTINCT ticker FROM p) CROSS JOIN cal LEFT JOIN p USING (ticker, date))),
 held AS (SELECT unnest(['equal', 'size', 'sqrt_size']) AS portfolio, ticker, entry, exit, unnest([1.0::DOUBLE, size_usd, sqrt(size_usd)]) AS raw FROM pos),
 ev AS (SELECT portfolio, ticker, e.idx AS ei, x.idx AS xi, raw FROM held h ASOF JOIN cal e ON e.date >= h.entry + INTERVAL 1 DAY ASOF LEFT JOIN cal x ON x.date >= h.exit),
 fl AS (SELECT portfolio, ticker, idx, sum(v) AS v FROM (SELECT portfolio, ticker, ei AS idx, raw AS v FROM ev UNION ALL SELECT portfolio, ticker, xi, -raw FROM ev WHERE xi IS NOT NULL) GROUP BY ALL),

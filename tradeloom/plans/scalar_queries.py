@@ -243,7 +243,7 @@ def congress(spark, d):
 
 
 @query("tenure", """
-SELECT t.txn_id, CASE WHEN y >= 0 THEN y END AS years, greatest(y, 0) AS clipped FROM (SELECT txn_id, year(transaction_date) - year(term_start) AS y FROM disclosures d LEFT JOIN members m USING (bioguide_id)) t""")
+SELECT t.txn_id, CASE WHEN y >= 0 THEN y END AS years, CASE WHEN y < 0 THEN 0 ELSE y END AS clipped FROM (SELECT txn_id, year(transaction_date) - year(term_start) AS y FROM disclosures d LEFT JOIN members m USING (bioguide_id)) t""")
 def tenure(spark, d):
     m = table(spark, d, "members").select("bioguide_id", "term_start")
     t = table(spark, d, "disclosures").select("txn_id", "bioguide_id", "transaction_date").join(m, "bioguide_id", "left")
