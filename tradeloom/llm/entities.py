@@ -209,6 +209,8 @@ def match_trades(vendor: DataFrame, ours: DataFrame, members: DataFrame, referen
     Rows whose member neither id nor name tells match nothing. Missing dates, assets, amounts, filing dates and directions are no evidence either
     way. members and reference are small tables of names. Empty inputs give no rows; extra columns are ignored.
     """
+    vendor = vendor.select("vendor_no", "bioguideid", "name", "ticker", "transaction", "traded", "filed", "trade_size_usd")
+    ours = ours.select("txn_id", "bioguide_id", "declarant_name", "ticker", "asset_description", "operation_type", "transaction_date", "disclosure_date", "amount_range", "amount_midpoint")
     v = with_asset(with_member(vendor, "bioguideid", "name", members), "ticker", None, reference)
     size = F.col("trade_size_usd").cast("double")
     v = v.select(

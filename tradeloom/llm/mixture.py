@@ -34,7 +34,7 @@ def repetition_rates(sizes: DataFrame, targets: DataFrame, budget: float | None
         t = t.crossJoin(F.broadcast(room))  # one row
     else:
         t = t.withColumn("budget", F.lit(float(budget)))
-    wanted = F.col("target_share") * F.col("budget") / F.col("tokens")
+    wanted = F.try_divide(F.col("target_share") * F.col("budget"), F.col("tokens"))
     rate = F.when(F.col("tokens") > 0, F.least(F.coalesce(wanted, F.lit(0.0)), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return t.withColumn("rate", rate).drop("budget")
 
@@ -73,6 +73,6 @@ def mixture_report(counts: DataFrame, targets: DataFrame, budget: float | None =
     both = rates.join(used, F.col("source") == F.col("u__"), "left").drop("u__")
     both = both.crossJoin(F.broadcast(used.agg(F.sum("tokens_used").alias("all__"))))  # one row
     return both.select(
-        "source", "target_share", (F.coalesce("tokens_used", F.lit(0)) / F.col("all__")).alias("actual_share"), "max_repeats", "rate", F.col("tokens").cast("long").alias("tokens_available"),
+        "source", "target_share", F.try_divide(F.coalesce("tokens_used", F.lit(0)).cast("double"), F.col("all__")).alias("actual_share"), "max_repeats", "rate", F.col("tokens").cast("long").alias("tokens_available"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents_used", "tokens_used", "most_repeats")],
     )

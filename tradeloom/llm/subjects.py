@@ -87,7 +87,7 @@ def mixtures(rows: np.ndarray, cols: np.ndarray, n: int, h: np.ndarray, allowed:
 
 
 def _flat(docs: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.fromiter((c for d in docs for c in d), np.int64)
+    return np.repeat(np.arange(len(docs)), np.array([len(d) for d in docs], np.int64)), np.fromiter((c for d in docs for c in d), np.int64)
 
 
 def seed(docs: Sequence[Sequence[int]], labels: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +134,8 @@ def mentions(sentences: Sequence[Sequence[Sequence[int]]], h: np.ndarray, subjec
     if not len(cols):
         return np.zeros((n, subjects)), np.zeros((n, subjects))
     w, share = mixtures(rows, cols, n, h)
-    at = np.repeat(np.arange(sum(len(d) for d in sentences)), [len(s) for d in sentences for s in d])
-    owner = np.repeat(np.arange(n), [len(d) for d in sentences])
+    at = np.repeat(np.arange(sum(len(d) for d in sentences)), np.array([len(s) for d in sentences for s in d], np.int64))
+    owner = np.repeat(np.arange(n), np.array([len(d) for d in sentences], np.int64))
     top = np.zeros((len(owner), subjects), np.float32)
     np.maximum.at(top, at, share[:, :subjects])
     said = np.zeros((n, subjects))
@@ -231,6 +231,8 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, sampl
     component is told from another and there are no rows.
     """
     names = sorted({r[0] for r in areas.select("subject").where("subject IS NOT NULL").collect()})  # a small fixed table
+    if not names:
+        return documents.sparkSession.createDataFrame([], "doc_id long, subject string, words double, mentions int")
     parsed = read_corpus(documents)
     common = common_sentences(parsed)
     shared = parsed.sparkSession.sparkContext.broadcast((fit(parsed, labels, names, common, sample, rounds), common))
