@@ -91,7 +91,7 @@ def annual_stats(daily: DataFrame, r: str = "net") -> DataFrame:
     c = F.col(r)
     x = curve(daily, r).groupBy("portfolio").agg(
         N().alias("days"), (F.exp(F.sum(F.log1p(c)) * 252 / N()) - 1).alias("cagr"), (F.stddev(c) * F.sqrt(F.lit(252.0))).alias("vol"),
-        (F.try_divide(F.mean(c), F.stddev(c)) * F.sqrt(F.lit(252.0))).alias("sharpe"), (F.try_divide(F.mean(c), F.stddev(F.when(c < 0, c))) * F.sqrt(F.lit(252.0))).alias("sortino"),
+        (F.try_divide(F.mean(c), F.stddev(c)) * F.sqrt(F.lit(252.0))).alias("sharpe"), (F.try_divide(F.mean(c), F.stddev(F.when(c < -1e-12, c))) * F.sqrt(F.lit(252.0))).alias("sortino"),
         F.min("drawdown").alias("max_drawdown"),
     )
     return x

@@ -121,7 +121,7 @@ def portfolio_daily(spark, d):
 
 
 @query("portfolio_stats", """SELECT portfolio, count(*) AS days, sum(ln(1 + net)) * 252 / count(*) AS log_growth, stddev_samp(net) * sqrt(252) AS vol, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe,
-  avg(net) / (stddev_samp(net) FILTER (net < 0)) * sqrt(252) AS sortino, min(dd) AS max_drawdown FROM (SELECT *, e / max(e) OVER (PARTITION BY portfolio ORDER BY idx) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY portfolio ORDER BY idx)) AS e FROM pf)) GROUP BY portfolio""", "log_growth vol sharpe sortino max_drawdown")
+  avg(net) / (stddev_samp(net) FILTER (net < -1e-12)) * sqrt(252) AS sortino, min(dd) AS max_drawdown FROM (SELECT *, e / max(e) OVER (PARTITION BY portfolio ORDER BY idx) - 1 AS dd FROM (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY portfolio ORDER BY idx)) AS e FROM pf)) GROUP BY portfolio""", "log_growth vol sharpe sortino max_drawdown")
 def portfolio_stats(spark, d):
     return M.annual_stats(_portfolio(spark, d)).withColumn("cagr", F.log1p("cagr")).withColumnRenamed("cagr", "log_growth")
 
