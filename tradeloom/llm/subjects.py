@@ -178,7 +178,7 @@ def _kept(b: pa.RecordBatch, common: frozenset[int]) -> list[list[list[int]]]:
     return out
 
 
-def fit(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], common: frozenset[int], sample: int = 20_000, rounds: int = 2) -> np.ndarray:
+def fit(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], common: frozenset[int], sample: int = 10_000, rounds: int = 2) -> np.ndarray:
     """Components from labels (doc_id, subject) and all documents.
 
     sample bounds the label rows that seed the components (those of the smallest hash of doc_id); the rounds that follow run over every
@@ -222,7 +222,7 @@ def fit(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], common: f
     return h
 
 
-def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = 20_000, rounds: int = 2, share: float = 0.12) -> DataFrame:
+def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = 10_000, rounds: int = 2, share: float = 0.12) -> DataFrame:
     """(doc_id, subject, words, mentions) for each subject that a document deals with.
 
     words is what the mixture gives the subject, mentions the sentences with a word surely its own. A document deals with a subject that it
