@@ -87,3 +87,9 @@ def test_streams_take_up_only_what_is_new(spark, tmp_path):
     assert {r["k"]: r["value"] for r in spark.read.parquet(f"{tmp_path}/m/v1").collect()} == {0: 9.0, 1: 1.0, 2: 2.0}
     cache = spark.createDataFrame([("a", "v1", "ok"), ("b", "v1", "failed"), ("c", "v0", "ok")], "doc_id string, version string, status string")
     assert sorted(r["doc_id"] for r in W.not_cached(cache.select("doc_id"), cache, "v1").collect()) == ["b", "c"]
+
+
+def test_year_ranges():
+    from tradeloom.functions.scalars import year_range
+
+    assert year_range("2020-2022, 2025,2021") == [2020, 2021, 2022, 2025] and year_range("") == []

@@ -359,6 +359,16 @@ def walk_forward_gate(spark, d):
     return q.join(s, (F.col("member") == F.col("m__")) & (F.year("entry") - 1 == F.col("decision_year")), "left_semi").select("trade_id")
 
 
+@query("walk_forward_grid")
+def walk_forward_grid(spark, d):
+    """For 4, 6, 8 and 10 members a year: the purchases of those chosen on the year before, simulated, all in one job."""
+    w = Window.partitionBy("decision_year").orderBy(F.desc("c"), "member")
+    s = _composite(spark, d).withColumn("c", F.round("composite", 9)).withColumn("k", F.row_number().over(w)).where("k <= 10").select("decision_year", F.col("member").alias("m__"), "k")
+    held = M.positions(trades(spark, d)).join(s, (F.col("member") == F.col("m__")) & (F.year("entry") - 1 == F.col("decision_year")))
+    held = held.select("ticker", "entry", "exit", F.col("size_usd").alias("raw"), F.explode(F.filter(F.array(*[F.lit(k) for k in (4, 6, 8, 10)]), lambda n: n >= F.col("k"))).alias("n"))
+    return M.annual_stats(M.portfolio_days(held.withColumn("portfolio", F.concat(F.lit("top"), F.col("n"))), prices(spark, d)))
+
+
 @query("style_attribution", """SELECT portfolio, avg(net) * 252 AS total, avg(b) * 252 AS market, avg(net - st) * 252 AS selection, avg(st - b) * 252 AS allocation, avg(net - st + st - b - (net - b)) AS residual FROM (SELECT pf.portfolio, pf.idx, any_value(pf.net) AS net, any_value(bm.b) AS b, sum(u.share * r.r) AS st
   FROM pf JOIN bm USING (idx) JOIN (SELECT ticker, sum(size_usd) / sum(sum(size_usd)) OVER () AS share FROM t WHERE op = 'buy' GROUP BY ticker) u ON true JOIN r ON r.ticker = u.ticker AND r.idx = pf.idx GROUP BY pf.portfolio, pf.idx) GROUP BY portfolio""", "total market selection allocation residual")
 def style_attribution(spark, d):

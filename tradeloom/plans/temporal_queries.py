@@ -109,6 +109,24 @@ def next_trading_day(spark, d):
     return T.with_trading_day(o, "d", days).select("o_orderkey", "trading_day")
 
 
+@query("jurisdiction", "SELECT txn_id, coalesce(" + " OR ".join(f"(committee_membership LIKE '%{w}%' AND sector_gics IN ({', '.join(repr(x) for x in xs)}))" for w, xs in S.JURISDICTION) + ", false) AS aligned FROM disclosures")
+def jurisdiction(spark, d):
+    return table(spark, d, "disclosures").select("txn_id", S.within_jurisdiction(F.col("committee_membership"), F.col("sector_gics")).alias("aligned"))
+
+
+@query("member_lookup", "SELECT v.vendor_no, m.party, m.committee_membership, coalesce(m.committee_membership LIKE '%Ways and Means%' OR m.committee_membership LIKE '%Financial Services%', false) AS key_member FROM quiver_missing_trades v LEFT JOIN members m ON m.bioguide_id = v.bioguideid")
+def member_lookup(spark, d):
+    m = table(spark, d, "members").select("bioguide_id", "party", "committee_membership")
+    v = table(spark, d, "quiver_missing_trades").select("vendor_no", F.col("bioguideid").alias("bioguide_id")).join(m, "bioguide_id", "left")
+    key = F.coalesce(F.col("committee_membership").rlike("Ways and Means|Financial Services"), F.lit(False))
+    return v.select("vendor_no", "party", "committee_membership", key.alias("key_member"))
+
+
+@query("vendor_sectors", "SELECT asset_id, CASE sector_gics " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**{v: v for v in S.VENDOR_SECTORS.values()}, **S.VENDOR_SECTORS}.items()) + " END AS sector FROM asset_reference")
+def vendor_sectors(spark, d):
+    return table(spark, d, "asset_reference").select("asset_id", S.gics_sector(F.col("sector_gics")).alias("sector"))
+
+
 def queries() -> dict:
     return dict(query.found)
 
