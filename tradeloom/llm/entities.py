@@ -115,8 +115,8 @@ def _days(c: Column) -> Column:
 
 def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of rows (id, member, by_name, asset, side, day, filed, low, high) that say the same, and (class, id)."""
-    loose = F.col("day").isNull() | F.col("asset").isNull()
-    same = F.xxhash64("member", F.coalesce("asset", F.lit("")), F.coalesce("side", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")), F.when(loose, F.struct("filed", "low", "high")))
+    undated = F.when(F.col("day").isNull(), F.struct("filed", "low", "high"))  # what an amended repeat changes tells undated rows only
+    same = F.xxhash64("member", F.coalesce("asset", F.lit("")), F.coalesce("side", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")), undated)
     rows = rows.where("member IS NOT NULL").withColumn("class", same)
     classes = rows.groupBy("class").agg(
         F.first("member").alias("member"), F.first("asset").alias("asset"), F.first("side").alias("side"), F.first("day").alias("day"), F.min("by_name").alias("by_name"),
