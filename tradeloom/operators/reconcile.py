@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions import scalars as S
+from tradeloom.session import partitions
 
 N = lambda: F.count(F.lit(1))
 CLOSE_DAYS, PAIR_DAYS, FILING_DAYS = 10, 90, 3
@@ -179,14 +180,21 @@ def one_to_one_exact(ours: DataFrame, vendor: DataFrame) -> tuple[DataFrame, Dat
 
 
 def _greedy(ours: pd.DataFrame, vendor: pd.DataFrame) -> pd.DataFrame:
-    o, v = ours.sort_values(["d", "id"]), vendor.sort_values(["d", "id"])
-    days, ids, filed, used, out = v["d"].tolist(), v["id"].tolist(), v["f"].tolist(), [False] * len(v), []
-    for d, i, f in zip(o["d"].tolist(), o["id"].tolist(), o["f"].tolist()):
-        gap, k = min(((abs(d - days[k]), k) for k in range(len(days)) if not used[k]), default=(PAIR_DAYS + 1, -1))
-        if gap > PAIR_DAYS:
-            continue
-        used[k] = True
-        out.append((i, ids[k], gap, not (pd.isna(f) or pd.isna(filed[k])) and abs(f - filed[k]) <= FILING_DAYS))
+    """Pairs within each run of a bucket of many; rows come as numbers of days."""
+    sides: dict[tuple, tuple[list, list]] = {}
+    for k, df in enumerate((ours, vendor)):
+        for *key, d, i, f in zip(*(df[c].tolist() for c in (*GROUP, "run", "d", "id", "f"))):
+            sides.setdefault(tuple(key), ([], []))[k].append((d, i, f))
+    out = []
+    for o, v in sides.values():
+        o.sort(key=lambda x: x[:2])
+        free = sorted(v, key=lambda x: x[:2])
+        for d, i, f in o:
+            gap, k = min(((abs(d - x[0]), k) for k, x in enumerate(free)), default=(PAIR_DAYS + 1, -1))
+            if gap > PAIR_DAYS:
+                continue
+            _, j, g = free.pop(k)
+            out.append((i, j, gap, not (pd.isna(f) or pd.isna(g)) and abs(f - g) <= FILING_DAYS))
     return pd.DataFrame(out, columns=["txn_id", "vendor_no", "gap", "same_filing"])
 
 
@@ -205,7 +213,9 @@ def one_to_one(ours: DataFrame, vendor: DataFrame) -> DataFrame:
     both = both.withColumn("cut", F.coalesce(cut, F.lit(0))).withColumn("run", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sides = both.groupBy(*GROUP, "run").agg(F.countDistinct("side").alias("n")).where("n = 2").drop("n")
     both = both.join(sides, [*GROUP, "run"], "left_semi").select(*GROUP, "run", "d", "f", "id", "side")
-    left, right = both.where("side = 0").groupBy(*GROUP, "run"), both.where("side = 1").toDF(*both.columns).groupBy(*GROUP, "run")
+    # many small runs share a task
+    both = both.withColumn("bucket", F.pmod(F.xxhash64(*GROUP, "run"), F.lit(4 * partitions(ours.sparkSession))).cast("int"))
+    left, right = both.where("side = 0").groupBy("bucket"), both.where("side = 1").toDF(*both.columns).groupBy("bucket")
     near = left.cogroup(right).applyInPandas(_greedy, "txn_id long, vendor_no long, gap int, same_filing boolean")
     near = near.withColumn("kind", F.when(F.col("gap") <= CLOSE_DAYS, "close").otherwise("candidate"))
     return pairs.select("txn_id", "vendor_no", F.lit(0).alias("gap"), F.lit(None).cast("boolean").alias("same_filing"), F.lit("exact").alias("kind")).unionByName(near)
