@@ -46,3 +46,31 @@ def test_reading():
     marks, terms = read("NOTE 12\nPage 3 of 9. The re-\nfinery closed. (This has nothing to do with cattle.) <b>Done</b>")
     assert len(marks) == len(terms) == 4 and read(None) == ([], []) and read(" ") == ([], [])
     assert read("Page 3 is lost.")[0] == read("Page 77 is lost.")[0]
+
+
+def found(spark, docs, labels):
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    lab, areas = spark.createDataFrame(labels, "doc_id long, subject string"), spark.createDataFrame([(s,) for s in WORDS], "subject string")
+    return {(r["doc_id"], r["subject"]) for r in subjects_of(df, lab, areas).collect()}
+
+
+def test_many_copies_keep_their_subject(spark):
+    docs, labels = documents(400, 2)
+    parts = [FRAMES[i % 4].format(w, who=f"Mr{c * 5}") for i, (w, c) in enumerate(zip(WORDS["energy"], "abcde"))]
+    for i in range(200):  # a third of the rows, every other one with a sentence changed
+        own = list(parts)
+        if i % 2:
+            own[i % 5] = own[i % 5].replace("Mr", "Ms" + "".join(random.Random(i).choices("aeiou", k=6)))
+        docs.append((5000 + i, " ".join([*own, FORM]), "x", [1]))
+    got = found(spark, docs, labels)
+    assert {(5000 + i, "energy") for i in range(200)} <= got
+    assert not [x for x in got if x[0] >= 5000 and x[1] != "energy"]
+
+
+def test_frequent_sentences_of_a_subject_stay(spark):
+    docs, labels = documents(400, 3)
+    around = lambda i: "{0} sat quietly over the papers of {1} all day. {0} went home to {1} by train.".format(*["".join(random.Random(i + k).choices("aeioubdklmnrst", k=8)).capitalize() for k in (0, 9000)])
+    docs = [(i, f"{text} {around(i)}", *rest) for i, text, *rest in docs]
+    docs += [(5000 + i, f"{around(5000 + i)} The court heard the plaintiff. The juror left the tribunal.", "x", [1]) for i in range(60)]
+    got = found(spark, docs, labels + [(5000 + i, "law") for i in range(20)])
+    assert {(5000 + i, "law") for i in range(60)} <= got

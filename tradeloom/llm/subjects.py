@@ -1,7 +1,7 @@
 """Subject areas of documents by an anchored non-negative factorisation of the document-term matrix.
 
-Texts are read into sentences; sentences that stand in a notable share of all documents (forms, idioms) and sentences that deny or only mention
-their matter are left out. Words are hashed into a fixed number of columns, so a component is a vector of bounded size whatever the corpus.
+Texts are read into sentences; sentences that stand in a notable share of all documents, copies counted once (forms, idioms), and that the labels
+don't tie to a subject are left out, as are those that deny or only mention their matter. Words are hashed into a fixed number of columns, so a component is a vector of bounded size whatever the corpus.
 There is a component for each subject and a few for the language around them. A bounded sample of labelled documents seeds the components;
 then alternating multiplicative updates over all documents refine them: given the components each document's mixture, given the mixtures the
 components, with the words that the sample ties to a subject kept as its anchors. The mixture of a document tells its subjects.
@@ -158,11 +158,72 @@ def read_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return checkpointed(plain.mapInArrow(batches, "doc_id long, marks array<long>, sizes array<int>, cols array<int>"))
 
 
-def common_sentences(parsed: DataFrame, share: float = 0.005, least: int = 8) -> frozenset[int]:
-    """Hashes of the sentences that more than a share of the documents have: fewer than sentences per document / share of them."""
-    n = parsed.count()
+def _class(marks: Sequence[int], sizes: Sequence[int], counts: dict[int, int]) -> int:
+    """The same number for copies and near copies of a text, given how many documents have each frequent sentence.
+
+    The sentences of a text copied often are frequent themselves, so where frequent ones make up half of the words or more, the rarest of them
+    tells the group (one edited here and there gives a few more numbers); any other text is told by all of its sentences.
+    """
+    if 2 * sum(n for m, n in zip(marks, sizes) if m in counts) >= sum(sizes):
+        return min(((counts[m], m) for m in marks if m in counts), default=(0, 0))[1]
+    return hash(tuple(sorted(set(marks))))
+
+
+def _tied(labelled: Sequence[tuple[int, Sequence[int], Sequence[str]]], often: frozenset[int], subjects: Sequence[str]) -> frozenset[int]:
+    """Those sentences of often that the labels tie to a subject, by labelled classes of documents (class, marks, subjects named)."""
+    groups: dict[int, list] = {}
+    for key, marks, named in labelled:
+        part = np.array([float(s in named) for s in subjects])
+        groups.setdefault(key, []).append((set(marks) & often, part / max(part.sum(), 1)))
+    seen: dict[int, list] = {}
+    for docs in groups.values():
+        part = np.mean([x for _, x in docs], 0)
+        for m in set().union(*[x for x, _ in docs]):
+            seen.setdefault(m, []).append(part)
+    base = np.mean([np.mean([x for _, x in docs], 0) for docs in groups.values()], 0) if groups else np.zeros(len(subjects))
+    out = []
+    for m, parts in seen.items():
+        n, named = len(parts), np.sum(parts, 0)
+        j = int(named.argmax())
+        beyond = (named[j] - n * base[j]) / np.sqrt(max(n * base[j] * (1 - base[j]), 1e-9))
+        if n >= 4 and named[j] > 0.55 * (n + 0.5) and (beyond >= 4 or base[j] > 0.55):
+            out.append(m)
+    return frozenset(out)
+
+
+def common_sentences(parsed: DataFrame, labelled: Sequence[pa.RecordBatch], subjects: Sequence[str], share: float = 0.005, least: int = 8) -> frozenset[int]:
+    """Hashes of the sentences that stand in more classes of near copies than a share of the documents, unless labels tie them to a subject.
+
+    What is gathered are fewer than sentences per document / share.
+    """
+    most = max(share * parsed.count(), least)
     counts = parsed.select(F.explode(F.array_distinct("marks")).alias("m")).groupBy("m").count()
-    return frozenset(r[0] for r in counts.where(F.col("count") > max(share * n, least)).select("m").collect())
+    often = {r[0]: r[1] for r in counts.where(F.col("count") > most).collect()}
+    if not often:
+        return frozenset()
+    shared = parsed.sparkSession.sparkContext.broadcast(often)
+
+    def classes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in it:
+            ms, keys = [], []
+            for marks, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if have := {m for m in marks if m in often}:
+                    ms.extend(have)
+                    keys.extend([_class(marks, sizes, often)] * len(have))
+            yield pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), pa.array(keys, pa.int64())], names=["m", "key"])
+
+    spread_ = parsed.select("marks", "sizes").mapInArrow(classes, "m long, key long").distinct().groupBy("m").count()
+    common = frozenset(r[0] for r in spread_.where(F.col("count") > most).select("m").collect())
+    docs = [d for b in labelled for d in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)))]
+    return common - _tied([(_class(marks, sizes, often), marks, named) for marks, sizes, named in docs], common, subjects)
+
+
+def labelled_documents(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], sample: int = 10_000) -> list[pa.RecordBatch]:
+    """(marks, sizes, cols, named) of the documents with labels (doc_id, subject); sample bounds the label rows (those of the smallest hash of doc_id)."""
+    some = labels.where(F.col("subject").isin(*subjects) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("l__"), "subject").distinct()
+    some = some.orderBy(F.xxhash64("l__"), "l__", "subject").limit(sample).groupBy("l__").agg(F.collect_set("subject").alias("named"))
+    return parsed.join(some, F.col("doc_id") == F.col("l__")).select("marks", "sizes", "cols", "named").toArrow().to_batches()
 
 
 def _kept(b: pa.RecordBatch, common: frozenset[int]) -> list[list[list[int]]]:
@@ -178,18 +239,15 @@ def _kept(b: pa.RecordBatch, common: frozenset[int]) -> list[list[list[int]]]:
     return out
 
 
-def fit(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], common: frozenset[int], sample: int = 10_000, rounds: int = 2) -> np.ndarray:
-    """Components from labels (doc_id, subject) and all documents.
+def fit(parsed: DataFrame, labelled: Sequence[pa.RecordBatch], subjects: Sequence[str], common: frozenset[int], rounds: int = 2) -> np.ndarray:
+    """Components from labelled documents and all documents.
 
-    sample bounds the label rows that seed the components (those of the smallest hash of doc_id); the rounds that follow run over every
-    document: a task sums the shares of its documents, and what is gathered is at most a row for each column of the matrix.
+    The labelled ones seed the components; the rounds that follow run over every document: a task sums the shares of its documents, and what is
+    gathered is at most a row for each column of the matrix.
     """
     place = {s: i for i, s in enumerate(subjects)}
-    some = labels.where(F.col("subject").isin(*subjects) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("l__"), "subject").distinct()
-    some = some.orderBy(F.xxhash64("l__"), "l__", "subject").limit(sample).groupBy("l__").agg(F.collect_set("subject").alias("named"))
-    seen = parsed.join(some, F.col("doc_id") == F.col("l__")).select("marks", "sizes", "cols", "named").toArrow().to_batches()
     docs, flags = [], []
-    for b in seen:
+    for b in labelled:
         for doc, named in zip(_kept(b, common), b.column(3).to_pylist()):
             docs.append([c for s in doc for c in s])
             flags.append([float(s in named) for s in subjects])
@@ -234,8 +292,9 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, sampl
     if not names:
         return documents.sparkSession.createDataFrame([], "doc_id long, subject string, words double, mentions int")
     parsed = read_corpus(documents)
-    common = common_sentences(parsed)
-    shared = parsed.sparkSession.sparkContext.broadcast((fit(parsed, labels, names, common, sample, rounds), common))
+    labelled = labelled_documents(parsed, labels, names, sample)
+    common = common_sentences(parsed, labelled, names)
+    shared = parsed.sparkSession.sparkContext.broadcast((fit(parsed, labelled, names, common, rounds), common))
     k = len(names)
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
