@@ -49,6 +49,14 @@ def test_repeats_on_either_side(spark):
     assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)} and len(set(got.values())) == 1
 
 
+def test_other_dates_of_what_was_filed_together(spark):
+    far = date(2019, 11, 20)
+    v = [vendor(1, on=FILED), vendor(2, member="B000002", name=None, on=far), vendor(3, member="C000003", name=None, on=date(2021, 3, 12), filed=None), vendor(4, ticker="OLD", on=far, size=60_000.0), vendor(5, ticker="ALP.A", op="Sell", on=far, filed=date(2020, 4, 20))]
+    o = [ours(1), ours(2, member="B000002", name="Bert Birch"), ours(3, member="C000003", name="Bart Birch"), ours(4, ticker="ALP.A"), ours(5, ticker="ALP.A", op="Sale")]
+    got = match(spark, v, o)
+    assert set(got) == {(1, 1), (2, 2), (3, 3)} and got[1, 1] > 0.9 > got[2, 2]
+
+
 def test_nulls_and_empty_tables(spark):
     nothing, none = (1, *[None] * 7), (1, *[None] * 9)
     assert match(spark, [nothing], [none]) == {} and match(spark, [], [ours(1)]) == {} and match(spark, [vendor(1)], []) == {}

@@ -1,7 +1,7 @@
 """Matching of records of two sources that share no identifier.
 
 Repeats on either side first fall together into classes of records that say the same. Classes meet through blocking keys (member, asset and a
-span of days, with the ways in which a date goes wrong), and every candidate pair gets odds from how its attributes agree. A class on one side
+span of days, with the ways in which a date goes wrong, or of filing days), and every candidate pair gets odds from how its attributes agree. A class on one side
 can be at most one class on the other: loopy belief propagation with these one-to-one factors passes messages along the candidate pairs,
 each round joining the messages at both ends, until they settle, and gives each pair its marginal probability. Pairs without a rival are settled
 at once; only contested ones take part in the rounds. Matched classes then give all their records.
@@ -17,7 +17,7 @@ from tradeloom.llm.canonical import plain
 from tradeloom.session import checkpointed
 
 #: Log odds of a pair by how it agrees: fixed values, set from the meaning of the fields, not fitted.
-BASE, NEAR, SWAPPED, OTHER_YEAR = -2.0, (4.0, 4.0, 3.5, 3.0, 3.0, 3.0), 2.5, 1.5
+BASE, NEAR, SWAPPED, OTHER_YEAR, ABOUT_A_YEAR, FILED_AS_TRADED, OTHER_DAY = -2.0, (4.0, 4.0, 3.5, 3.0, 3.0, 3.0), 2.5, 1.5, 0.5, -0.5, -2.75
 FILED_SAME, FILED_CLOSE, FILED_OTHER, FILED_OTHER_FAR = 3.0, 2.5, -1.5, -4.0
 AMOUNT_FITS, AMOUNT_CLASHES, SIDE_SAME, SIDE_OTHER, ASSET_UNKNOWN, BY_NAME = 1.0, -2.0, 1.0, -6.0, -3.5, -0.5
 #: Days by which a date may be inexact, and the width of the spans of days used as blocking keys.
@@ -132,8 +132,7 @@ def _swapped(day: Column) -> Column:
 
 
 def _year_off(day: Column, by: int) -> Column:
-    d = F.date_add(F.lit("1970-01-01").cast("date"), day)
-    return F.when(~((F.month(d) == 2) & (F.dayofmonth(d) == 29)), _days(F.make_date(F.year(d) + by, F.month(d), F.dayofmonth(d))))
+    return _days(F.add_months(F.date_add(F.lit("1970-01-01").cast("date"), day), 12 * by))
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -143,15 +142,18 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     no = F.lit(None).cast("long")
     day, dated = F.col("day"), F.col("day").isNotNull() & F.col("asset").isNotNull()
     at = lambda d: F.when(dated & d.isNotNull(), key("day", F.col("member"), F.col("asset"), span(d)))
-    filed = lambda kind, *more, by=(0,): F.flatten(F.transform("filed", lambda f: F.array(*[key(kind, F.col("member"), *more, f + b) for b in by])))
+    filed = lambda by=(0,): F.flatten(F.transform("filed", lambda f: F.array(*[key("filed", F.col("member"), f + b) for b in by])))
+    # whatever the days, records of one asset that were filed together meet
+    together = lambda by=(0,): F.flatten(F.transform("filed", lambda f: F.array(*[key("together", F.col("member"), F.col("asset"), span(f + b)) for b in by])))
     none = F.array().cast("array<bigint>")
-    open_left = F.col("day").isNull() | F.col("asset").isNull()
+    listed, unfiled = F.col("asset").isNotNull(), F.size("filed") == 0
+    # a year off without a filing day on either side; with one on both they meet through it
     left_keys = F.concat(
-        F.array(at(day - SLACK), at(day), at(day + SLACK), at(_swapped(day)), at(_year_off(day, 1)), at(_year_off(day, -1))),
-        F.when(open_left, filed("filed", by=(-2, -1, 0, 1, 2))).otherwise(none), F.when(F.col("asset").isNotNull(), filed("undated", F.col("asset"))).otherwise(none),
+        F.array(at(day - SLACK), at(day), at(day + SLACK), at(_swapped(day))), F.when(unfiled, F.array(*[at(_year_off(day, y) + b) for y in (1, -1) for b in (-SLACK, 0, SLACK)])).otherwise(none),
+        F.when(listed, together((-2, 2))).otherwise(filed((-2, -1, 0, 1, 2))),
     )
     right_keys = F.concat(
-        F.array(F.coalesce(at(day), no)), filed("filed"), F.when(F.col("day").isNull() & F.col("asset").isNotNull(), filed("undated", F.col("asset"), by=(-2, -1, 0, 1, 2))).otherwise(none)
+        F.array(F.coalesce(at(day), no)), F.when(unfiled, F.array(at(_year_off(day, 1)), at(_year_off(day, -1)))).otherwise(none), filed(), F.when(listed, together()).otherwise(none)
     )
     tidy = lambda ks: F.explode(F.array_distinct(F.filter(ks, lambda k: k.isNotNull())))
     kept = lambda d, p, ks: d.select(
@@ -164,11 +166,12 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     p = p.where((F.col("imember") == F.col("jmember")) & (F.col("iasset").isNull() | (F.col("iasset") == F.col("jasset"))))
     gap = F.abs(F.col("iday") - F.col("jday"))
     mid = _swapped(F.col("iday")) == F.col("jday")
-    year = (_year_off(F.col("iday"), 1) == F.col("jday")) | (_year_off(F.col("iday"), -1) == F.col("jday"))
+    year = F.least(*[F.abs(_year_off(F.col("iday"), y) - F.col("jday")) for y in (1, -1)])
+    as_filed = F.array_contains("ifiled", F.col("iday")) | F.array_contains("jfiled", F.col("jday"))  # the filing day written as the day of the trade
     near = F.when(gap == 0, NEAR[0])
     for d in range(1, SLACK + 1):
         near = near.when(gap == d, NEAR[d])
-    date = F.when(gap.isNull(), 0.0).otherwise(F.coalesce(near, F.when(mid, SWAPPED), F.when(year, OTHER_YEAR)))
+    date = F.when(gap.isNull(), 0.0).otherwise(F.coalesce(near, F.when(mid, SWAPPED), F.when(year == 0, OTHER_YEAR).when(year <= SLACK, ABOUT_A_YEAR), F.when(both & as_filed, FILED_AS_TRADED).when(both, OTHER_DAY)))
     lag = F.array_min(F.flatten(F.transform("ifiled", lambda a: F.transform("jfiled", lambda b: F.abs(a - b)))))
     far = F.when(gap <= SLACK, FILED_OTHER).otherwise(FILED_OTHER_FAR)
     filing = F.when(lag.isNull(), 0.0).when(lag == 0, FILED_SAME).when(lag <= 2, FILED_CLOSE).otherwise(far)
