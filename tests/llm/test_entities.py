@@ -49,6 +49,16 @@ def test_repeats_on_either_side(spark):
     assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)} and len(set(got.values())) == 1
 
 
+def test_repeats_that_lost_something(spark):
+    v = [vendor(1), vendor(2, on=None), vendor(3, op=None), vendor(4, ticker=None)]
+    o = [ours(1), ours(2, on=None), ours(3, op=None), ours(4, on=None, amount="$500,001 - $1,000,000"), ours(5, ticker=None, text="Any County GO Bonds 5.0% due 2045"), ours(6, ticker=None, text=None)]
+    got = match(spark, v, o)
+    assert set(got) == set(itertools.product((1, 2, 3, 4), (1, 2, 3, 6)))
+    # two dated classes that it could belong to: it joins neither
+    got = match(spark, [vendor(1), vendor(2, on=date(2020, 3, 23)), vendor(3, on=None)], [ours(1), ours(2, on=date(2020, 3, 23))])
+    assert {(1, 1), (2, 2)} <= set(got) and not {(1, 2), (2, 1)} & set(got) and len([x for x in got if x[0] == 3]) <= 1
+
+
 def test_other_dates_of_what_was_filed_together(spark):
     far = date(2019, 11, 20)
     v = [vendor(1, on=FILED), vendor(2, member="B000002", name=None, on=far), vendor(3, member="C000003", name=None, on=date(2021, 3, 12), filed=None), vendor(4, ticker="OLD", on=far, size=60_000.0), vendor(5, ticker="ALP.A", op="Sell", on=far, filed=date(2020, 4, 20))]

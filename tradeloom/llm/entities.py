@@ -1,6 +1,6 @@
 """Matching of records of two sources that share no identifier.
 
-Repeats on either side first fall together into classes of records that say the same. Classes meet through blocking keys (member, asset and a
+Repeats on either side first fall together into classes of records that say the same, or the same but for one thing that a repeat lacks. Classes meet through blocking keys (member, asset and a
 span of days, with the ways in which a date goes wrong, or of filing days), and every candidate pair gets odds from how its attributes agree. A class on one side
 can be at most one class on the other: loopy belief propagation with these one-to-one factors passes messages along the candidate pairs,
 each round joining the messages at both ends, until they settle, and gives each pair its marginal probability. Pairs without a rival are settled
@@ -117,14 +117,31 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes of rows (id, member, by_name, asset, side, day, filed, low, high) that say the same, and (class, id)."""
     undated = F.when(F.col("day").isNull(), F.struct("filed", "low", "high"))  # what an amended repeat changes tells undated rows only
     same = F.xxhash64("member", F.coalesce("asset", F.lit("")), F.coalesce("side", F.lit("")), F.coalesce(F.col("day").cast("string"), F.lit("")), undated)
-    rows = rows.where("member IS NOT NULL").withColumn("class", same)
+    rows = _completed(rows.where("member IS NOT NULL").withColumn("class", same))
     classes = rows.groupBy("class").agg(
-        F.first("member").alias("member"), F.first("asset").alias("asset"), F.first("side").alias("side"), F.first("day").alias("day"), F.min("by_name").alias("by_name"),
+        F.first("member").alias("member"), F.max("asset").alias("asset"), F.max("side").alias("side"), F.max("day").alias("day"), F.min("by_name").alias("by_name"),
         F.collect_set("filed").alias("filed"), F.min("low").alias("low"), F.max("high").alias("high"),
     )
     return classes, rows.select("class", "id")
 
 
+def _completed(rows: DataFrame) -> DataFrame:
+    """rows (with class) where one that lacks its day, side or asset, but no other of these, has the class of the complete rows that agree with it
+    in the other two, member and filing day, if they are of a single class and no amount contradicts. unlisted marks rows without an asset whose description names another thing."""
+    told = ("asset", "side", "day")
+    lacking = F.concat(*[F.when(F.col(c).isNull(), F.lit(c)).otherwise("") for c in told])
+    key = lambda c: F.xxhash64(F.lit(c), "member", "filed", *[x for x in told if x != c])
+    open_ = lacking.isin(*told) & F.col("filed").isNotNull() & ~F.col("unlisted")
+    full = rows.where((lacking == "") & F.col("filed").isNotNull())
+    full = full.select(F.explode(F.array(*[key(c) for c in told])).alias("k__"), F.col("class").alias("c__"), F.col("low").alias("l__"), F.col("high").alias("h__"))
+    full = full.groupBy("k__").agg(F.min("c__").alias("c__"), F.max("c__").alias("other__"), F.min("l__").alias("l__"), F.max("h__").alias("h__")).where("c__ = other__")
+    part = rows.where(open_).withColumn("p__", F.coalesce(*[F.when(lacking == c, key(c)) for c in told]))
+    clash = (F.col("low") > F.col("h__")) | (F.col("high") < F.col("l__"))
+    part = part.join(full, F.col("p__") == F.col("k__"), "left")
+    part = part.withColumn("class", F.when(F.col("c__").isNotNull() & ~F.coalesce(clash, F.lit(False)), F.col("c__")).otherwise(F.col("class")))
+    return rows.where(~open_).unionByName(checkpointed(part.select(*rows.columns)))
+
+
 def _swapped(day: Column) -> Column:
     """The day with day and month exchanged, null where that is no other date."""
     d = F.date_add(F.lit("1970-01-01").cast("date"), day)
@@ -218,7 +235,7 @@ def match_trades(vendor: DataFrame, ours: DataFrame, members: DataFrame, referen
     size = F.col("trade_size_usd").cast("double")
     v = v.select(
         F.col("vendor_no").cast("long").alias("id"), "member", "by_name", "asset", direction(F.col("transaction")).alias("side"), _days(F.col("traded")).alias("day"),
-        _days(F.col("filed")).alias("filed"), size.alias("low"), size.alias("high"),
+        _days(F.col("filed")).alias("filed"), size.alias("low"), size.alias("high"), F.lit(False).alias("unlisted"),
     )
     d = with_asset(with_member(ours, "bioguide_id", "declarant_name", members), "ticker", "asset_description", reference)
     bounds = F.regexp_extract_all("amount_range", F.lit(r"\$([\d,]+)"), 1)
@@ -227,6 +244,7 @@ def match_trades(vendor: DataFrame, ours: DataFrame, members: DataFrame, referen
         F.col("txn_id").cast("long").alias("id"), "member", "by_name", "asset", direction(F.col("operation_type")).alias("side"), _days(F.col("transaction_date")).alias("day"),
         _days(F.col("disclosure_date")).alias("filed"), F.coalesce(bound(0), F.col("amount_midpoint").cast("double")).alias("low"),
         F.coalesce(bound(1), F.when(bound(0).isNotNull(), F.lit(1e12)), F.col("amount_midpoint").cast("double")).alias("high"),
+        (F.col("asset").isNull() & (F.coalesce(asset_phrase(F.col("asset_description")), F.lit("")) != "")).alias("unlisted"),
     )
     (vc, vi), (dc, di) = _classes(checkpointed(v)), _classes(checkpointed(d))
     p = propagate(checkpointed(candidate_pairs(vc, dc))).where(F.col("p") >= least)
