@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tradeloom.llm.subjects import read, subjects_of
 
 WORDS = {"law": ["court", "subpoena", "plaintiff", "tribunal", "juror"], "farming": ["maize", "cattle", "orchard", "fertiliser", "harvest"], "energy": ["pipeline", "refinery", "megawatt", "turbine", "drilling"]}
@@ -43,9 +45,9 @@ def test_nothing_to_go_by(spark):
 
 
 def test_reading():
-    marks, terms = read("NOTE 12\nPage 3 of 9. The re-\nfinery closed. (This has nothing to do with cattle.) <b>Done</b>")
-    assert len(marks) == len(terms) == 4 and read(None) == ([], []) and read(" ") == ([], [])
-    assert read("Page 3 is lost.")[0] == read("Page 77 is lost.")[0]
+    terms = read("NOTE 12\nPage 3 of 9. The re-\nfinery closed. (This has nothing to do with cattle.) <b>Done</b>")
+    assert [len(s) for s in terms] == [1, 1, 3, 5, 1] and read(None) == read(" ") == []
+    assert read("Page 3 is lost.") == read("Page 77 is lost.")
 
 
 def found(spark, docs, labels):
@@ -54,23 +56,37 @@ def found(spark, docs, labels):
     return {(r["doc_id"], r["subject"]) for r in subjects_of(df, lab, areas).collect()}
 
 
-def test_many_copies_keep_their_subject(spark):
+@pytest.mark.parametrize("copies", [1, 3, 12, 200])
+def test_copies_keep_their_subject(spark, copies):
     docs, labels = documents(400, 2)
     parts = [FRAMES[i % 4].format(w, who=f"Mr{c * 5}") for i, (w, c) in enumerate(zip(WORDS["energy"], "abcde"))]
-    for i in range(200):  # a third of the rows, every other one with a sentence changed
+    for i in range(copies):  # up to a third of the rows, every other one with a sentence changed
         own = list(parts)
         if i % 2:
             own[i % 5] = own[i % 5].replace("Mr", "Ms" + "".join(random.Random(i).choices("aeiou", k=6)))
         docs.append((5000 + i, " ".join([*own, FORM]), "x", [1]))
     got = found(spark, docs, labels)
-    assert {(5000 + i, "energy") for i in range(200)} <= got
-    assert not [x for x in got if x[0] >= 5000 and x[1] != "energy"]
+    assert {x for x in got if x[0] >= 5000} == {(5000 + i, "energy") for i in range(copies)}
 
 
-def test_frequent_sentences_of_a_subject_stay(spark):
+def test_frequent_sentences_of_a_subject_count(spark):
     docs, labels = documents(400, 3)
-    around = lambda i: "{0} sat quietly over the papers of {1} all day. {0} went home to {1} by train.".format(*["".join(random.Random(i + k).choices("aeioubdklmnrst", k=8)).capitalize() for k in (0, 9000)])
-    docs = [(i, f"{text} {around(i)}", *rest) for i, text, *rest in docs]
-    docs += [(5000 + i, f"{around(5000 + i)} The court heard the plaintiff. The juror left the tribunal.", "x", [1]) for i in range(60)]
+    docs += [(5000 + i, f"The clerk wrote to number {i}. The court heard the plaintiff. The juror left the tribunal.", "x", [1]) for i in range(60)]
     got = found(spark, docs, labels + [(5000 + i, "law") for i in range(20)])
     assert {(5000 + i, "law") for i in range(60)} <= got
+
+
+def test_wordings_are_learned_from_labels(spark):
+    """Denials in words that no line of the library holds; in the other half of the labels the same words assert."""
+    for end in ("never came up, quothe {who}.", "zumbrel afkantig {who}."):
+        docs, labels = documents(500, 4)
+        docs = [(i, t.replace("(A reader asked whether this has anything to do with", "Thus").replace("; it has not.)", " " + end.format(who="Fimmel")), *r) for i, t, *r in docs]
+        got = found(spark, docs, [x for x in labels if x[0] < 300])
+        late, wanted = {x for x in got if x[0] >= 300}, {x for x in labels if x[0] >= 300}
+        assert len(late & wanted) >= 0.95 * len(wanted) and len(late & wanted) >= 0.95 * len(late)
+
+
+def test_long_text_in_one_portion(spark):
+    docs, labels = documents(300, 5)
+    docs.append((9000, " ".join(FRAMES[i % 4].format(WORDS["farming"][i % 5], who="Ibbet") for i in range(60_000)), "x", [1]))
+    assert (9000, "farming") in found(spark, docs, labels)

@@ -1,10 +1,14 @@
 """Subject areas of documents by an anchored non-negative factorisation of the document-term matrix.
 
-Texts are read into sentences; sentences that stand in a notable share of all documents, copies counted once (forms, idioms), and that the labels
-don't tie to a subject are left out, as are those that deny or only mention their matter. Words are hashed into a fixed number of columns, so a component is a vector of bounded size whatever the corpus.
-There is a component for each subject and a few for the language around them. A bounded sample of labelled documents seeds the components;
+Texts are read into sentences of words; words are hashed into a fixed number of columns, so a component is a vector of bounded size whatever the
+corpus. There is a component for each subject and a few for the language around them. A bounded sample of labelled documents seeds the components;
 then alternating multiplicative updates over all documents refine them: given the components each document's mixture, given the mixtures the
-components, with the words that the sample ties to a subject kept as its anchors. The mixture of a document tells its subjects.
+components, with the words that the sample ties to a subject kept as its anchors.
+
+A text may name a subject only to deny it, or use its words in an idiom. Which wordings do that is learned from the same labelled documents: a
+logistic model over the words and pairs of words of a sentence tells whether readers who met such a sentence named the subject of its words. A
+document's mixture is taken over the words of the sentences that pass; it tells the document's subjects directly. Nothing is counted
+over documents to decide what is left out, so a text gets the same subjects however often it was copied.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,13 +31,10 @@ from tradeloom.session import checkpointed
 COLUMNS = 1 << 18
 #: Components for the language around the subjects.
 AROUND = 3
-#: Wordings that deny a matter or mention it in passing, in the languages of the corpus.
-DENIED = re.compile(
-    r"\bit has not\b|\bnot covered here\b|\bonce wrote about\b|\bunrelated to\b|\bnothing to do with\b|\bnot about\b|\bno guarda relaci|\bnada que ver\b|\brien à voir\b|\bsans rapport\b"
-    r"|\bnichts zu tun\b|\bkein zusammenhang\b|\brocket science\b"
-)
+#: Words of documents that are worked on at a time; a longer text is worked on alone.
+WORDS_AT_ONCE = 400_000
 _TAG, _BREAK, _END = re.compile(r"<[^<>]{1,300}>|&[a-z]{2,8};"), re.compile(r"(?<=\w)-\s*\n\s*(?=[a-zà-ÿ])"), re.compile(r"(?<=[.!?)])[\"'”]?\s+|\n\s*\n|\t+")
-_WORD, _NUMBER, _SPACE = re.compile(r"[^\W\d_]{3,}"), re.compile(r"\d+"), re.compile(r"\W+")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 
 
 @lru_cache(maxsize=200_000)
@@ -52,260 +54,276 @@ def repaired(text: str) -> str:
     return text
 
 
-def read(text: str | None) -> tuple[list[int], list[list[int]]]:
-    """A hash of each sentence (numbers apart) and the columns of its words; sentences that deny or only mention are left out."""
-    marks, terms = [], []
+def read(text: str | None) -> list[list[int]]:
+    """The columns of the words of each sentence that has any."""
     if not text or not text.strip():
-        return marks, terms
+        return []
     text = _BREAK.sub("", _TAG.sub(" ", repaired(text)))
     head, _, rest = text.lstrip().partition("\n")
     parts = [head, rest] if len(head) < 90 and not head.rstrip().endswith((".", ",")) else [text]
-    for part in parts:
-        for s in _END.split(part):
-            s = s.lower()
-            ws = _WORD.findall(s)
-            if not ws or DENIED.search(" ".join(s.split())):
-                continue
-            marks.append(zlib.crc32(_SPACE.sub(" ", _NUMBER.sub("#", s)).strip().encode()))
-            terms.append([column(w) for w in ws])
-    return marks, terms
+    found = (_WORD.findall(s.lower()) for part in parts for s in _END.split(part))
+    return [[column(w) for w in ws] for ws in found if ws]
+
+
+@dataclass
+class Words:
+    """The words of n documents: their document (ascending), column and sentence, and the distinct (document, column) with their counts."""
+
+    n: int
+    rows: np.ndarray
+    cols: np.ndarray
+    sent: np.ndarray
+    sentences: int
+
+    def __post_init__(self):
+        keys, self.at, self.counts = np.unique(self.rows * COLUMNS + self.cols, return_inverse=True, return_counts=True)
+        self.urows, self.ucols = keys // COLUMNS, keys % COLUMNS
 
+    def only(self, sentences: np.ndarray) -> Words:
+        """The words of some of the sentences (a mask)."""
+        m = sentences[self.sent]
+        return self if m.all() else Words(self.n, self.rows[m], self.cols[m], self.sent[m], self.sentences)
 
-def mixtures(rows: np.ndarray, cols: np.ndarray, n: int, h: np.ndarray, allowed: np.ndarray | None = None, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the components in each of n documents (words each accounts for), and each entry's shares; h: components x columns.
+    @staticmethod
+    def of(sizes: pa.ListArray, cols: pa.ListArray) -> Words:
+        whole = lambda a: a.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        length = cols.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        s = whole(sizes)
+        return Words(len(cols), np.repeat(np.arange(len(cols)), length), whole(cols), np.repeat(np.arange(len(s)), s), len(s))
 
-    Multiplicative updates that lower the Kullback-Leibler divergence. allowed masks components per document.
+
+def portions(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """A batch with columns sizes and cols in portions of a bounded number of words, or of one document."""
+    total = np.cumsum(b.column(b.schema.get_field_index("cols")).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        stop = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + WORDS_AT_ONCE, "right")), at + 1)
+        part = b.slice(at, stop - at)
+        yield part, Words.of(*(part.column(part.schema.get_field_index(c)) for c in ("sizes", "cols")))
+        at = stop
+
+
+def mixtures(words: Words, h: np.ndarray, allowed: np.ndarray | None = None, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the components in each document (words each accounts for), and the shares of each distinct (document, column).
+
+    h: columns x components. Multiplicative updates that lower the Kullback-Leibler divergence. allowed masks components per document.
     """
-    k = h.shape[0]
-    w = np.ones((n, k), np.float32) if allowed is None else allowed.astype(np.float32)
-    hc = h[:, cols].T + 1e-12
+    k = h.shape[1]
+    w = np.ones((words.n, k), np.float32) if allowed is None else allowed.astype(np.float32)
+    if not len(words.urows):
+        return np.zeros((words.n, k), np.float32), np.zeros((0, k), np.float32)
+    hc, counts = h[words.ucols] + np.float32(1e-12), words.counts[:, None].astype(np.float32)
+    have, starts = np.unique(words.urows, return_index=True)
     for _ in range(rounds):
-        share = w[rows] * hc
-        share /= share.sum(1, keepdims=True) + 1e-30
-        w = np.stack([np.bincount(rows, share[:, j], minlength=n) for j in range(k)], 1).astype(np.float32)
+        share = w[words.urows] * hc
+        share /= share.sum(1, keepdims=True) + np.float32(1e-30)
+        w = np.zeros((words.n, k), np.float32)
+        w[have] = np.add.reduceat(share * counts, starts, axis=0)
     return w, share
 
 
-def _flat(docs: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(docs)), np.array([len(d) for d in docs], np.int64)), np.fromiter((c for d in docs for c in d), np.int64)
+def summed(words: Words, share: np.ndarray) -> np.ndarray:
+    """Columns x components: the shares of all documents together."""
+    return np.stack([np.bincount(words.ucols, share[:, j] * words.counts, minlength=COLUMNS) for j in range(share.shape[1])], 1)
 
 
-def seed(docs: Sequence[Sequence[int]], labels: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Components from labelled documents (labels: documents x subjects, 0 or 1) and, per component and column, whether it may hold the word.
+def seed(words: Words, labels: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Components from labelled documents (labels: documents x subjects, 0 or 1) and, per column and component, whether it may hold the word.
 
     A word is tied to the subject that most of its documents' labels name, and to the language around where they are spread over subjects; words
     too rare in the sample to tell may go anywhere. With the ties, alternating updates over the sample give the first components.
     """
     n, k = labels.shape
-    rows, cols = _flat([sorted(set(d)) for d in docs])
     part = labels / np.maximum(labels.sum(1, keepdims=True), 1)
-    seen = np.bincount(cols, minlength=COLUMNS).astype(np.float32)
-    named = np.stack([np.bincount(cols, part[rows, j], minlength=COLUMNS) for j in range(k)])
-    tie = named / (seen + 0.5)
-    best = tie.argmax(0)
-    may = np.ones((k + AROUND, COLUMNS), bool)
-    mine, spread_out = (tie.max(0) > 0.55) & (seen >= 3), (tie.max(0) < 0.45) & (seen >= 8)
-    may[:, mine], may[best[mine], np.flatnonzero(mine)] = False, True
-    may[:k, spread_out] = False
+    seen = np.bincount(words.ucols, minlength=COLUMNS).astype(np.float32)
+    named = np.stack([np.bincount(words.ucols, part[words.urows, j], minlength=COLUMNS) for j in range(k)], 1)
+    tie = named / (seen + 0.5)[:, None]
+    best, top = tie.argmax(1), tie.max(1)
+    may = np.ones((COLUMNS, k + AROUND), bool)
+    mine, spread_out = (top > 0.55) & (seen >= 3), (top < 0.45) & (seen >= 8)
+    may[mine], may[np.flatnonzero(mine), best[mine]] = False, True
+    may[spread_out, :k] = False
     rng = np.random.default_rng(7)
-    rows, cols = _flat(docs)
-    counts = np.bincount(cols, minlength=COLUMNS)
-    h = np.concatenate([named**2 / (seen + 1), np.tile(seen * 0.2, (AROUND, 1)) * rng.uniform(0.5, 1.5, (AROUND, COLUMNS))]).astype(np.float32) * may
-    h /= h.sum(1, keepdims=True).clip(1e-9)
+    around = np.tile(seen[:, None] * 0.2, (1, AROUND)) * rng.uniform(0.5, 1.5, (COLUMNS, AROUND))
+    h = np.concatenate([named**2 / (seen + 1)[:, None], around], 1).astype(np.float32) * may
+    h /= h.sum(0).clip(1e-9)
     allowed = np.concatenate([labels + 0.02, np.ones((n, AROUND))], 1)
-    for _ in range(rounds if counts.any() else 0):
-        _, share = mixtures(rows, cols, n, h, allowed, 6)
-        sums = np.stack([np.bincount(cols, share[:, j], minlength=COLUMNS) for j in range(k + AROUND)])
-        h = anchored(h, sums, may)
+    for _ in range(rounds if len(words.cols) else 0):
+        h = anchored(h, summed(words, mixtures(words, h, allowed, 6)[1]), may)
     return h, may
 
 
 def anchored(h: np.ndarray, sums: np.ndarray, may: np.ndarray, prior: float = 0.05) -> np.ndarray:
     """Components from the summed shares of all documents, a trace of the former ones kept; words stay where they are tied."""
-    new = (sums + prior * h * sums.sum(1, keepdims=True)) * may
-    return (new / new.sum(1, keepdims=True).clip(1e-9)).astype(np.float32)
-
-
-def mentions(sentences: Sequence[Sequence[Sequence[int]]], h: np.ndarray, subjects: int, sure: float = 0.8) -> tuple[np.ndarray, np.ndarray]:
-    """Per document and subject: words that the mixture gives it, and sentences with a word that is surely its."""
-    flat = [[c for s in d for c in s] for d in sentences]
-    rows, cols = _flat(flat)
-    n = len(sentences)
-    if not len(cols):
-        return np.zeros((n, subjects)), np.zeros((n, subjects))
-    w, share = mixtures(rows, cols, n, h)
-    at = np.repeat(np.arange(sum(len(d) for d in sentences)), np.array([len(s) for d in sentences for s in d], np.int64))
-    owner = np.repeat(np.arange(n), np.array([len(d) for d in sentences], np.int64))
-    top = np.zeros((len(owner), subjects), np.float32)
-    np.maximum.at(top, at, share[:, :subjects])
-    said = np.zeros((n, subjects))
-    np.add.at(said, owner, top >= sure)
-    return w[:, :subjects], said
+    new = (sums + prior * h * sums.sum(0)) * may
+    return (new / new.sum(0).clip(1e-9)).astype(np.float32)
+
+
+def told(sums: np.ndarray, may: np.ndarray, least: float = 0.4) -> np.ndarray:
+    """The ties after a round over all documents: a word of which no subject holds a good part among the subjects goes to the language around."""
+    k = may.shape[1] - AROUND
+    of = sums[:, :k]
+    flat = (of.max(1) < least * of.sum(1)) & (may.sum(1) > 1)
+    may = may.copy()
+    may[flat, :k] = False
+    return may
+
+
+@dataclass
+class Wording:
+    """Tells sentences that deal with the matter of their words from those that deny or only borrow it, by words that are no anchors and by pairs of words."""
+
+    anchors: np.ndarray
+    weights: np.ndarray
+    bias: float = 2.0
+
+    @staticmethod
+    def features(words: Words, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        free, pair = ~anchors[words.cols], words.sent[1:] == words.sent[:-1]
+        both = COLUMNS + (words.cols[:-1][pair] * 40503 + words.cols[1:][pair] * 9973) % COLUMNS
+        return np.concatenate([words.sent[free], words.sent[:-1][pair]]), np.concatenate([words.cols[free], both])
+
+    def asserts(self, words: Words) -> np.ndarray:
+        """Per sentence whether what it says counts."""
+        sent, feature = self.features(words, self.anchors)
+        return self.bias + np.bincount(sent, self.weights[feature], minlength=words.sentences) > 0
+
+    @staticmethod
+    def learned(words: Words, labels: np.ndarray, h: np.ndarray, anchors: np.ndarray, rounds: int = 300, ridge: float = 0.3, least: int = 3) -> Wording:
+        """From labelled documents: the sentences with a word that is mostly a subject's, and whether the document's labels name the subject.
+
+        Logistic regression with a ridge, by gradient steps over the whole sample; features met in fewer than `least` such sentences play no part.
+        """
+        k = labels.shape[1]
+        out = Wording(anchors, np.zeros(2 * COLUMNS))
+        if not len(words.cols):
+            return out
+        share = mixtures(words, h)[1][words.at][:, :k]
+        top = np.zeros((words.sentences, k), np.float32)
+        np.maximum.at(top, words.sent, share)
+        owner = np.zeros(words.sentences, np.int64)
+        owner[words.sent] = words.rows
+        about = top >= 0.5
+        known = about.any(1) & (labels.sum(1) > 0)[owner]
+        right = (labels[owner] * about).sum(1) / np.maximum(about.sum(1), 1)
+        sent, feature = Wording.features(words, anchors)
+        sent, feature = sent[known[sent]], feature[known[sent]]
+        often = np.bincount(feature, minlength=2 * COLUMNS) >= least
+        sent, feature = sent[often[feature]], feature[often[feature]]
+        place, feature = np.unique(feature, return_inverse=True)
+        w, squares, squared, bias = np.zeros(len(place)), np.full(len(place), 1e-8), 1e-8, out.bias
+        for _ in range(rounds if known.any() else 0):
+            z = bias + np.bincount(sent, w[feature], minlength=words.sentences)
+            miss = np.where(known, 1 / (1 + np.exp(-z)) - right, 0)
+            slope = np.bincount(feature, miss[sent], minlength=len(place)) + ridge * w
+            squares, squared = squares + slope**2, squared + miss.sum() ** 2
+            w, bias = w - 0.3 * slope / np.sqrt(squares), bias - 0.3 * miss.sum() / np.sqrt(squared)
+        out.weights[place], out.bias = w, float(bias)
+        return out
+
+
+def started(words: Words, labels: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray, Wording]:
+    """First components, ties and wordings from labelled documents, by turns: words that are only denied or borrowed tie to nothing."""
+    h, may = seed(words, labels)
+    wording = Wording.learned(words, labels, h, may.sum(1) == 1)
+    for _ in range(rounds):
+        h, may = seed(words.only(wording.asserts(words)), labels)
+        wording = Wording.learned(words, labels, h, may.sum(1) == 1)
+    return h, may, wording
 
 
 def read_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, marks, sizes, cols): sentence hashes, words per sentence, and the columns of the words in order; checkpointed."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("cols", pa.list_(pa.int32()))])
+    """(doc_id, sizes, cols): words per sentence and the columns of the words in order; checkpointed, so that texts are read once."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("sizes", pa.list_(pa.int32())), ("cols", pa.list_(pa.int32()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 each = [read(t) for t in part.column(1).to_pylist()]
-                arrays = [part.column(0), [m for m, _ in each], [[len(s) for s in ts] for _, ts in each], [[c for s in ts for c in s] for _, ts in each]]
-                yield pa.RecordBatch.from_arrays([pa.array(a, type=f.type) if isinstance(a, list) else a for a, f in zip(arrays, kinds)], schema=kinds)
+                arrays = [[len(s) for s in ts] for ts in each], [[c for s in ts for c in s] for ts in each]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(a, type=f.type) for a, f in zip(arrays, list(kinds)[1:])]], schema=kinds)
 
     plain = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    return checkpointed(plain.mapInArrow(batches, "doc_id long, marks array<long>, sizes array<int>, cols array<int>"))
+    return checkpointed(plain.mapInArrow(batches, "doc_id long, sizes array<int>, cols array<int>"))
 
 
-def _class(marks: Sequence[int], sizes: Sequence[int], counts: dict[int, int]) -> int:
-    """The same number for copies and near copies of a text, given how many documents have each frequent sentence.
+def labelled_documents(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], sample: int = 20_000, words: int = 5_000_000) -> tuple[Words, np.ndarray]:
+    """The words of labelled documents, and documents x subjects with 1 where a label names the subject.
 
-    The sentences of a text copied often are frequent themselves, so where frequent ones make up half of the words or more, the rarest of them
-    tells the group (one edited here and there gives a few more numbers); any other text is told by all of its sentences.
+    sample bounds the label rows taken from labels (doc_id, subject), those of the smallest hash of doc_id, and words what is brought of them, in the same order.
     """
-    if 2 * sum(n for m, n in zip(marks, sizes) if m in counts) >= sum(sizes):
-        return min(((counts[m], m) for m in marks if m in counts), default=(0, 0))[1]
-    return hash(tuple(sorted(set(marks))))
-
-
-def _tied(labelled: Sequence[tuple[int, Sequence[int], Sequence[str]]], often: frozenset[int], subjects: Sequence[str]) -> frozenset[int]:
-    """Those sentences of often that the labels tie to a subject, by labelled classes of documents (class, marks, subjects named)."""
-    groups: dict[int, list] = {}
-    for key, marks, named in labelled:
-        part = np.array([float(s in named) for s in subjects])
-        groups.setdefault(key, []).append((set(marks) & often, part / max(part.sum(), 1)))
-    seen: dict[int, list] = {}
-    for docs in groups.values():
-        part = np.mean([x for _, x in docs], 0)
-        for m in set().union(*[x for x, _ in docs]):
-            seen.setdefault(m, []).append(part)
-    base = np.mean([np.mean([x for _, x in docs], 0) for docs in groups.values()], 0) if groups else np.zeros(len(subjects))
-    out = []
-    for m, parts in seen.items():
-        n, named = len(parts), np.sum(parts, 0)
-        j = int(named.argmax())
-        beyond = (named[j] - n * base[j]) / np.sqrt(max(n * base[j] * (1 - base[j]), 1e-9))
-        if n >= 4 and named[j] > 0.55 * (n + 0.5) and (beyond >= 4 or base[j] > 0.55):
-            out.append(m)
-    return frozenset(out)
-
-
-def common_sentences(parsed: DataFrame, labelled: Sequence[pa.RecordBatch], subjects: Sequence[str], share: float = 0.005, least: int = 8) -> frozenset[int]:
-    """Hashes of the sentences that stand in more classes of near copies than a share of the documents, unless labels tie them to a subject.
-
-    What is gathered are fewer than sentences per document / share.
-    """
-    most = max(share * parsed.count(), least)
-    counts = parsed.select(F.explode(F.array_distinct("marks")).alias("m")).groupBy("m").count()
-    often = {r[0]: r[1] for r in counts.where(F.col("count") > most).collect()}
-    if not often:
-        return frozenset()
-    shared = parsed.sparkSession.sparkContext.broadcast(often)
-
-    def classes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = shared.value
-        for b in it:
-            ms, keys = [], []
-            for marks, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if have := {m for m in marks if m in often}:
-                    ms.extend(have)
-                    keys.extend([_class(marks, sizes, often)] * len(have))
-            yield pa.RecordBatch.from_arrays([pa.array(ms, pa.int64()), pa.array(keys, pa.int64())], names=["m", "key"])
-
-    spread_ = parsed.select("marks", "sizes").mapInArrow(classes, "m long, key long").distinct().groupBy("m").count()
-    common = frozenset(r[0] for r in spread_.where(F.col("count") > most).select("m").collect())
-    docs = [d for b in labelled for d in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)))]
-    return common - _tied([(_class(marks, sizes, often), marks, named) for marks, sizes, named in docs], common, subjects)
-
-
-def labelled_documents(parsed: DataFrame, labels: DataFrame, subjects: Sequence[str], sample: int = 10_000) -> list[pa.RecordBatch]:
-    """(marks, sizes, cols, named) of the documents with labels (doc_id, subject); sample bounds the label rows (those of the smallest hash of doc_id)."""
     some = labels.where(F.col("subject").isin(*subjects) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("l__"), "subject").distinct()
     some = some.orderBy(F.xxhash64("l__"), "l__", "subject").limit(sample).groupBy("l__").agg(F.collect_set("subject").alias("named"))
-    return parsed.join(some, F.col("doc_id") == F.col("l__")).select("marks", "sizes", "cols", "named").toArrow().to_batches()
-
-
-def _kept(b: pa.RecordBatch, common: frozenset[int]) -> list[list[list[int]]]:
-    """Per document the sentences that are not common."""
-    out = []
-    for marks, sizes, cols in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("marks", "sizes", "cols"))):
-        at, doc = 0, []
-        for m, size in zip(marks, sizes):
-            if m not in common:
-                doc.append(cols[at : at + size])
-            at += size
-        out.append(doc)
-    return out
-
-
-def fit(parsed: DataFrame, labelled: Sequence[pa.RecordBatch], subjects: Sequence[str], common: frozenset[int], rounds: int = 2) -> np.ndarray:
-    """Components from labelled documents and all documents.
+    known = parsed.join(some, F.col("doc_id") == F.col("l__")).select(F.xxhash64("l__").alias("k"), "doc_id", F.size("cols").alias("n"), "sizes", "cols", "named")
+    place, docs, flags = {s: i for i, s in enumerate(subjects)}, [], []
+    left = words
+    for r in known.orderBy("k", "doc_id").toLocalIterator():
+        left -= r["n"]
+        if left < 0:
+            break
+        docs.append(tuple(np.array(r[c], np.int32) for c in ("sizes", "cols")))
+        flags.append([float(s in r["named"]) for s in place])
+    sizes, cols = (pa.array([d[i] for d in docs], pa.list_(pa.int32())) for i in (0, 1))
+    return Words.of(sizes, cols), np.array(flags, np.float32).reshape(len(docs), len(place))
+
+
+def fit(parsed: DataFrame, words: Words, labels: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, Wording]:
+    """Components from labelled documents and all documents, and the wordings that assert.
 
     The labelled ones seed the components; the rounds that follow run over every document: a task sums the shares of its documents, and what is
     gathered is at most a row for each column of the matrix.
     """
-    place = {s: i for i, s in enumerate(subjects)}
-    docs, flags = [], []
-    for b in labelled:
-        for doc, named in zip(_kept(b, common), b.column(3).to_pylist()):
-            docs.append([c for s in doc for c in s])
-            flags.append([float(s in named) for s in subjects])
-    h, may = seed(docs, np.array(flags, np.float32).reshape(len(docs), len(place)))
-    sc, k = parsed.sparkSession.sparkContext, h.shape[0]
+    h, may, wording = started(words, labels)
+    sc, k = parsed.sparkSession.sparkContext, h.shape[1]
     for _ in range(rounds):
-        shared = sc.broadcast((h, common))
+        shared = sc.broadcast((h, wording))
 
         def sums(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            h, common = shared.value
-            total = np.zeros((k, COLUMNS))
+            (h, wording), total = shared.value, np.zeros((COLUMNS, k))
             for b in it:
-                for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
-                    rows, cols = _flat([[c for s in d for c in s] for d in _kept(part, common)])
-                    if len(cols):
-                        _, share = mixtures(rows, cols, part.num_rows, h)
-                        for j in range(k):
-                            total[j] += np.bincount(cols, share[:, j], minlength=COLUMNS)
-            at = np.flatnonzero(total.sum(0))
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[j, at]) for j in range(k)]], names=["col", *[f"s{j}" for j in range(k)]])
-
-        got = parsed.select("marks", "sizes", "cols").mapInArrow(sums, "col int, " + ", ".join(f"s{j} double" for j in range(k)))
+                for _, part in portions(b):
+                    part = part.only(wording.asserts(part))
+                    total += summed(part, mixtures(part, h)[1])
+            at = np.flatnonzero(total.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, j]) for j in range(k)]], names=["col", *[f"s{j}" for j in range(k)]])
+
+        got = parsed.select("sizes", "cols").mapInArrow(sums, "col int, " + ", ".join(f"s{j} double" for j in range(k)))
         got = got.groupBy("col").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toArrow()  # a row for each column at most
-        total = np.zeros((k, COLUMNS))
-        at = got.column("col").to_numpy()
-        for j in range(k):
-            total[j, at] = got.column(f"s{j}").to_numpy()
+        total = np.zeros((COLUMNS, k))
+        total[got.column("col").to_numpy()] = np.stack([got.column(f"s{j}").to_numpy() for j in range(k)], 1)
+        may = told(total, may)
         h = anchored(h, total, may)
         shared.unpersist()
-    return h
+    return h, wording
 
 
-def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = 10_000, rounds: int = 2, share: float = 0.12) -> DataFrame:
-    """(doc_id, subject, words, mentions) for each subject that a document deals with.
+def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, sample: int = 20_000, rounds: int = 2, least: float = 1.5, share: float = 0.12) -> DataFrame:
+    """(doc_id, subject, words, share) for each subject that a document deals with.
 
-    words is what the mixture gives the subject, mentions the sentences with a word surely its own. A document deals with a subject that it
-    mentions in two sentences or more and in at least a share of its subject sentences, or in one if that is the only one. Null, empty and blank
-    texts, and texts without a subject, give no row; the language does not matter; repeated documents are judged alike. Without labels no
-    component is told from another and there are no rows.
+    words is the weight of the subject's component in the document's mixture, in words, over the sentences that assert something, and share that
+    weight over the weights of all subjects. A document deals with the subjects of at least `least` words and `share`. Null, empty and blank texts, and texts without a subject, give no row; the
+    language does not matter; repeated documents are judged alike, and a text alike however often it is repeated. Without labels no component is told from
+    another and there are no rows.
     """
     names = sorted({r[0] for r in areas.select("subject").where("subject IS NOT NULL").collect()})  # a small fixed table
+    schema = "doc_id long, subject string, words double, share double"
     if not names:
-        return documents.sparkSession.createDataFrame([], "doc_id long, subject string, words double, mentions int")
+        return documents.sparkSession.createDataFrame([], schema)
     parsed = read_corpus(documents)
-    labelled = labelled_documents(parsed, labels, names, sample)
-    common = common_sentences(parsed, labelled, names)
-    shared = parsed.sparkSession.sparkContext.broadcast((fit(parsed, labelled, names, common, rounds), common))
-    k = len(names)
+    words, named = labelled_documents(parsed, labels, names, sample)
+    if not len(named):
+        return documents.sparkSession.createDataFrame([], schema)
+    shared, k = parsed.sparkSession.sparkContext.broadcast(fit(parsed, words, named, rounds)), len(names)
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, common = shared.value
+        h, wording = shared.value
         for b in it:
-            for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
-                words, said = mentions(_kept(part, common), h, k)
-                all_ = said.sum(1, keepdims=True)
-                i, j = np.nonzero(((said >= 2) & (said >= share * all_)) | ((said == 1) & (all_ == 1)))
-                ids = part.column(part.schema.get_field_index("doc_id")).to_numpy()
-                columns = [pa.array(ids[i], pa.int64()), pa.array([names[x] for x in j], pa.string()), pa.array(words[i, j].astype(float)), pa.array(said[i, j].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "subject", "words", "mentions"])
-
-    return parsed.mapInArrow(judge, "doc_id long, subject string, words double, mentions int")
+            for part, words in portions(b):
+                weight = mixtures(words.only(wording.asserts(words)), h)[0][:, :k].astype(float)
+                of = weight / np.maximum(weight.sum(1, keepdims=True), 1e-9)
+                i, j = np.nonzero((weight >= least) & (of >= share))
+                ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+                columns = [pa.array(ids[i], pa.int64()), pa.array([names[x] for x in j], pa.string()), pa.array(weight[i, j]), pa.array(of[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "subject", "words", "share"])
+
+    return parsed.where("doc_id IS NOT NULL").mapInArrow(judge, schema)
