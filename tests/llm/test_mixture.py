@@ -1,6 +1,7 @@
 """Sources reach their shares within their caps, and the choice of copies is the same every time."""
 
 from tradeloom.llm.mixture import emit_copies, mixture, mixture_report, repetition_rates, token_counts
+from tradeloom.llm.tokens import TreeEncoder, vocabulary
 
 TARGETS = [("a", 0.5, 2), ("b", 0.3, 4), ("c", 0.2, 8), ("gone", 0.0, 3)]
 
@@ -38,3 +39,26 @@ def test_empty_and_missing(spark):
 def test_counts(spark):
     docs = spark.createDataFrame([(1, "two words", "a", 3), (2, None, "a", 3), (3, "", None, 3)], "doc_id long, text string, source string, n_tokens int")
     assert sorted((r["doc_id"], r["n_tokens"] or 0) for r in token_counts(docs).collect()) == [(1, 2), (2, 0), (3, 0)]
+
+
+def test_shares_on_the_test_tables(spark, data):
+    """What comes out, copy by copy and counted by direct encoding, has the target shares; rates are those of whole sums."""
+    from tradeloom.llm.queries import p8_copies, p8_report
+
+    docs, targets = (spark.read.parquet(f"{data}/{t}.parquet").toPandas() for t in ("documents", "mix_targets"))
+    tree = TreeEncoder(vocabulary())
+    size = {d: len(tree.encoding.encode_ordinary(t)) for d, t in zip(docs["doc_id"], docs["text"]) if t is not None}
+    source = dict(zip(docs["doc_id"], docs["source"]))
+    have, used, most = {}, {}, {}
+    for d, n in size.items():
+        have[source[d]] = have.get(source[d], 0) + n
+    for r in p8_copies(spark, data).collect():
+        used[r["source"]] = used.get(r["source"], 0) + size[r["doc_id"]]
+        most[r["source"]] = max(most.get(r["source"], 0), r["copy_no"])
+    room = min(m * have[s] / t for s, t, m in zip(targets["source"], targets["target_share"], targets["max_repeats"]) if t > 0 and have.get(s))
+    report = {r["source"]: r for r in p8_report(spark, data).collect()}
+    present = sum(t for s, t in zip(targets["source"], targets["target_share"]) if have.get(s))  # a source without documents gives nothing
+    for s, t, m in zip(targets["source"], targets["target_share"], targets["max_repeats"]):
+        assert report[s]["tokens_used"] == used.get(s, 0) and abs(report[s]["actual_share"] - used.get(s, 0) / sum(used.values())) < 1e-12 and most.get(s, 0) <= m
+        assert abs(report[s]["rate"] - (min(t * room / have[s], m) if have.get(s) else 0)) < 1e-9
+        assert abs(report[s]["actual_share"] - (t / present if have.get(s) else 0)) < 0.1

@@ -4,9 +4,10 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tradeloom.llm.nearest_time import XFastTries, nearest_in_time
+from tradeloom.llm.nearest_time import XFastTries, _bucket, nearest_in_time
 
 SCHEMA = "{} long, who string, at timestamp_ntz, entity string, id string, window int"
 T0 = datetime(2020, 1, 1)
@@ -63,3 +64,22 @@ def test_trie_neighbours():
         low, high = own[own <= x], own[own >= x]
         assert (t.leaves[b] & 1023 if b >= 0 else None) == (low[-1] if len(low) else None)
         assert (t.leaves[c] & 1023 if c >= 0 else None) == (high[0] if len(high) else None)
+
+
+def test_more_cells_than_fit_a_key_with_a_time():
+    """2^21 cells in one bucket of the production tolerance: cell c has a right row c seconds after its left row."""
+    n, tol, width = 1 << 21, 864_000_000_000, 6 * 864_000_000_000
+    entity, zero = pa.array([f"e{i}" for i in range(n)]), pa.array(np.zeros(n, np.int32))
+    ids, at = np.arange(n), np.full(n, 10**12)
+    table = lambda ids, at: pa.table({"id": ids, "entity": entity, "at": at, "window": zero, "salt": zero})
+    got = _bucket(tol, width)(table(ids, at), table(ids + 7, at + ids * 1_000_000))
+    near = ids <= 864_000
+    assert np.array_equal(np.sort(got["left_id"].to_numpy()), ids[near]) and np.array_equal(got["right_id"].to_numpy() - 7, got["left_id"].to_numpy())
+
+
+def test_rounds_of_groups():
+    rng = random.Random(9)
+    rows = [(i, f"e{rng.randrange(40)}", rng.randrange(3000)) for i in range(900)]
+    table = lambda rs: pa.table({"id": [r[0] for r in rs], "entity": [r[1] for r in rs], "at": [r[2] for r in rs], "window": pa.array([0] * len(rs), pa.int32()), "salt": pa.array([0] * len(rs), pa.int32())})
+    whole, cut = (_bucket(100, 5000, g)(table(rows[:500]), table(rows[500:])) for g in (None, 7))
+    assert sorted(whole.to_pylist(), key=str) == sorted(cut.to_pylist(), key=str) and whole.num_rows > 100

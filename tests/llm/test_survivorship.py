@@ -34,6 +34,16 @@ def test_shortened_ids(spark):
     assert run(spark, rows) == [(1, "a", 2, "y"), (1, "n", 3, "3")]
 
 
+def test_ids_cut_anywhere(spark):
+    other = "00136f99" + U[8:]
+    whole = [(1, f"senate_{U}", None, "poor", t(1), "x", None), (2, f"senate_{other}", None, "poor", t(1), "o", None)]
+    cut = lambda i, text: (i, f"senate_{text}", None, "good", t(1), f"v{i}", None)
+    # 7 characters that both ids start with tell nothing; one more, or nearly all, do; what starts like none stays apart
+    assert run(spark, [*whole, cut(3, "00136f5"), cut(4, "00136f9")]) == [(1, "a", 3, "v3"), (2, "a", 4, "v4")]
+    assert run(spark, [*whole, cut(3, "00136f"), cut(4, "00136f"), cut(5, U[:-1])]) == [(1, "a", 5, "v5"), (3, "a", 3, "v3")]
+    assert run(spark, [*whole, cut(3, "beef"), cut(4, "x" * 500), cut(5, U + "0")]) == []
+
+
 def test_repeats_nulls_and_nothing(spark):
     rows = [(1, "5", None, None, None, None, None), (1, "5", None, None, None, None, None), (2, "n/a", None, "good", t(1), "z", 1), (3, None, None, "good", t(1), "z", 1)]
     assert run(spark, rows) == [] and run(spark, []) == []

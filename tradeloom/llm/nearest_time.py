@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.operators.heavy_keys import heavy_keys, key_frame
+from tradeloom.operators.heavy_keys import ROWS_PER_BUCKET, heavy_keys_and_rows, key_frame
 from tradeloom.session import partitions
 
 
 class XFastTries:
-    """Tries over the integers below 2**bits of many groups; groups are numbered from 0 and prefix every key."""
+    """Tries over the integers below 2**bits of many groups; groups are numbered from 0, up to 2**(63 - bits) of them, and prefix every key."""
 
     def __init__(self, group: np.ndarray, value: np.ndarray, bits: int):
         self.bits = bits
@@ -28,8 +28,9 @@ class XFastTries:
 
     def level(self, length: int) -> tuple[pd.Index, np.ndarray, np.ndarray]:
         """The hash table of one prefix length: prefixes, and the first and last leaf below each."""
-        prefixes, first = np.unique(self.leaves >> (self.bits - length), return_index=True)
-        return pd.Index(prefixes), first, np.append(first[1:], len(self.leaves)) - 1
+        prefixes = self.leaves >> (self.bits - length)  # in order, as the leaves are
+        first = np.flatnonzero(np.append(True, prefixes[1:] != prefixes[:-1]))
+        return pd.Index(prefixes[first]), first, np.append(first[1:], len(self.leaves)) - 1
 
     def neighbours(self, group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the leaves at or before, and at or after, each query in its group; -1 where there is none."""
@@ -63,8 +64,26 @@ class XFastTries:
         return before, after
 
 
-def _bucket(tolerance: int, width: int):
+def _nearest(gq: np.ndarray, values: np.ndarray, gr: np.ndarray, local: np.ndarray, ids_in: np.ndarray, bits: int, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries have a match within the tolerance, and its id."""
+    tries = XFastTries(gr, local, bits)
+    before, after = tries.neighbours(gq, values)
+    mask, far = (1 << bits) - 1, np.int64(1) << 62
+    at = lambda i: tries.leaves[np.maximum(i, 0)] & mask
+    back = np.where(before >= 0, values - at(before), far)
+    ahead = np.where(after >= 0, at(after) - values, far)
+    nearest = np.where(back <= ahead, before, after)  # ties go to the earlier time
+    ok = np.minimum(back, ahead) <= tolerance
+    # the smallest id of the rows at each leaf
+    leaf = np.searchsorted(tries.leaves, (gr.astype(np.int64) << bits) | local)
+    ids = np.full(len(tries.leaves), np.iinfo(np.int64).max)
+    np.minimum.at(ids, leaf, ids_in)
+    return ok, ids[nearest[ok]]
+
+
+def _bucket(tolerance: int, width: int, groups_at_once: int | None = None):
     bits = int(width + 2 * tolerance + 1).bit_length()
+    most = groups_at_once or 1 << (62 - bits)  # a group's number and a time have 63 bits together
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("left_id", pa.int64()), ("right_id", pa.int64())])
@@ -75,19 +94,16 @@ def _bucket(tolerance: int, width: int):
         groups = pd.concat([q[cell], r[cell]]).groupby(cell, sort=False).ngroup().to_numpy()
         gq, gr = groups[: len(q)], groups[len(q) :]
         local = lambda d: d["at"].to_numpy(np.int64) - d["window"].to_numpy(np.int64) * width + tolerance
-        tries, values = XFastTries(gr, local(r), bits), local(q)
-        before, after = tries.neighbours(gq, values)
-        mask, far = (1 << bits) - 1, np.int64(1) << 62
-        at = lambda i: tries.leaves[np.maximum(i, 0)] & mask
-        back = np.where(before >= 0, values - at(before), far)
-        ahead = np.where(after >= 0, at(after) - values, far)
-        nearest = np.where(back <= ahead, before, after)  # ties go to the earlier time
-        ok = np.minimum(back, ahead) <= tolerance
-        # the smallest id of the rows at each leaf
-        leaf = np.searchsorted(tries.leaves, (gr.astype(np.int64) << bits) | local(r))
-        ids = np.full(len(tries.leaves), np.iinfo(np.int64).max)
-        np.minimum.at(ids, leaf, r["id"].to_numpy(np.int64))
-        return pa.table({"left_id": q["id"].to_numpy(np.int64)[ok], "right_id": ids[nearest[ok]]}, schema=schema)
+        vq, vr, iq, ir = local(q), local(r), q["id"].to_numpy(np.int64), r["id"].to_numpy(np.int64)
+        lefts, rights = [], []
+        for start in range(0, int(groups.max()) + 1, most):  # more groups than fit a key take several rounds
+            a, b = (np.flatnonzero((g >= start) & (g < start + most)) for g in (gq, gr))
+            if len(a) and len(b):
+                ok, found = _nearest(gq[a] - start, vq[a], gr[b] - start, vr[b], ir[b], bits, tolerance)
+                lefts.append(iq[a][ok])
+                rights.append(found)
+        whole = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        return pa.table({"left_id": whole(lefts), "right_id": whole(rights)}, schema=schema)
 
     return match
 
@@ -110,7 +126,7 @@ def nearest_in_time(
 
     Times are compared in microseconds. Ties go to the earlier right time, then to the smaller right id. Rows with a null entity or time
     take no part; left rows without a match give no row; repeated left rows give a row each, repeated right rows count once. Hot entities
-    are split by windows of time and their left rows further by salts.
+    are split by windows of time and their left rows further by salts; buckets and salts grow with the rows, so that a task stays small.
     """
     micros = lambda c: F.unix_micros(c.cast("timestamp_ntz").cast("timestamp"))
     tol = tolerance_seconds * 1_000_000
@@ -121,7 +137,9 @@ def nearest_in_time(
     r = r.groupBy("entity", "at").agg(F.min("id").alias("id"))  # rows at the same moment differ by id only
     q = q.withColumn("window", window(F.col("at")))
     r = r.withColumn("window", F.explode(F.sequence(window(F.col("at") - tol), window(F.col("at") + tol))))
-    hot = heavy_keys(q, "entity", share)
+    hot, n = heavy_keys_and_rows(q, "entity", share)
+    buckets = max(4 * partitions(left.sparkSession), -(-(n + right.count()) // ROWS_PER_BUCKET))
+    salts = max(salts, -(-n // ROWS_PER_BUCKET))
     zero = F.lit(0).cast("int")
     if hot:
         listed = F.broadcast(key_frame(q, "entity", hot))  # fewer than 1 / share rows
@@ -131,7 +149,7 @@ def nearest_in_time(
         r = r.join(listed, on, "left").withColumn("salt", F.explode(F.when(is_hot, every).otherwise(F.array(zero)))).drop("heavy_key")
     else:
         q, r = q.withColumn("salt", zero), r.withColumn("salt", zero)
-    place = F.pmod(F.xxhash64("entity", "window", "salt"), F.lit(4 * partitions(left.sparkSession))).cast("int")
+    place = F.pmod(F.xxhash64("entity", "window", "salt"), F.lit(buckets)).cast("int")
     q, r = q.withColumn("bucket", place), r.withColumn("bucket", place)
     found = q.groupBy("bucket").cogroup(r.groupBy("bucket")).applyInArrow(_bucket(tol, width), "left_id long, right_id long")
     return found.select(F.col("left_id").alias(left_id), F.col("right_id").alias(right_id))

@@ -59,10 +59,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.decode_corpus(tokens.encode_corpus(table(spark, sf_dir, "documents")))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(mixture.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.emit_copies(p8_mixture(spark, sf_dir))
+
+
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_report(mixture.token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
 
@@ -82,7 +90,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_unmatched, p4_found, p4_surviving_records, p5_found, p7_ids, p8_mixture, p8_report, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_matches, p3_found, p3_unmatched, p4_found, p4_surviving_records, p5_found, p7_ids, p7_decoded, p8_mixture, p8_copies, p8_report, p9_found, p9_composition)}
 
 
 _SAYS = "coalesce(regexp_replace(lower(CAST({0} AS VARCHAR)), '[^\\p{{L}}\\p{{N}}]+', '', 'g') NOT IN ('', " + ", ".join(f"'{w}'" for w in survivorship.FILLERS) + "), false)"
@@ -95,9 +103,11 @@ k AS (SELECT *, coalesce(
     CASE WHEN regexp_matches(core, '^[0-9]+$') AND NOT contains(raw, 'senate') THEN 'h:' || ltrim(core, '0') END,
     CASE WHEN regexp_matches(url, '^[0-9a-f]{{32}}$') THEN 'u:' || url END,
     CASE WHEN regexp_matches(url, '^[0-9]+$') THEN 'h:' || ltrim(url, '0') END,
-    CASE WHEN core <> '' THEN 's:' || core END) AS gk FROM b),
-g AS (SELECT * FROM (SELECT k.*, coalesce(t.trust_rank, 2147483647) AS rnk, min(record_no) OVER (PARTITION BY gk) AS first_record_no, count(*) OVER (PARTITION BY gk) AS n_records
-    FROM k LEFT JOIN source_trust t USING (source_id) WHERE gk IS NOT NULL) WHERE n_records > 1)"""
+    CASE WHEN core <> '' THEN 's:' || core END) AS k0 FROM b),
+h AS (SELECT s.k0 AS s, min(w.k0) AS w FROM (SELECT DISTINCT k0 FROM k WHERE k0 LIKE 's:%') s JOIN (SELECT DISTINCT k0 FROM k WHERE k0 LIKE 'u:%') w ON starts_with(w.k0, 'u:' || substr(s.k0, 3)) AND length(s.k0) < 34 GROUP BY 1 HAVING count(*) = 1),
+m AS (SELECT k.*, coalesce(h.w, k.k0) AS gk FROM k LEFT JOIN h ON h.s = k.k0),
+g AS (SELECT * FROM (SELECT m.*, coalesce(t.trust_rank, 2147483647) AS rnk, min(record_no) OVER (PARTITION BY gk) AS first_record_no, count(*) OVER (PARTITION BY gk) AS n_records
+    FROM m LEFT JOIN source_trust t USING (source_id) WHERE gk IS NOT NULL) WHERE n_records > 1)"""
 
 
 def _best(field: str) -> str:
@@ -116,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_surviving_records": f"""{_KEYED}, w AS ({every})
 SELECT f.first_record_no, f.n_records, {", ".join(f"max(w.value) FILTER (w.field_name = '{x}') AS {x}" for x in FIELDS)}
 FROM (SELECT DISTINCT first_record_no, n_records FROM g) f LEFT JOIN w USING (first_record_no) GROUP BY 1, 2""",
+        "p7_decoded": "SELECT doc_id, text FROM documents",
         "p5_found": f"""
 WITH v AS (SELECT vendor_no, {_MEMBER.format(_ID.format("bioguideid"))} AS m, CAST(traded AS TIMESTAMP) AS at FROM quiver_missing_trades),
 r AS (SELECT ptr_no, {_MEMBER.format(_ID.format("bioguide_id"))} AS m, received_at FROM ptr_index)

@@ -2,8 +2,8 @@
 
 Records that copy each other imperfectly carry a group key; one aggregation over the records then takes, for each attribute, the
 maximum of a composite struct (is there a value, trust of the source, time, record): the record that supplies the value and
-the value itself come out together, with partial aggregation before the only shuffle, so a group of any size is one small row per
-task.
+the value itself come out together, with partial aggregation before the shuffle, so a group of any size is one small row per
+task. Groups whose key was cut short merge with those of the whole key by the same maximum.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradeloom.session import checkpointed
+
 #: Words that say nothing, as letters and digits in lower case. Signs without a letter or digit count as well.
 FILLERS = ("na", "nan", "none", "null", "nil", "unknown", "unk", "notavailable", "notapplicable", "missing", "tbd", "tba", "undefined", "blank", "empty")
 
@@ -43,24 +45,21 @@ def filing_key(filing_id: Column, doc_url: Column) -> Column:
     )
 
 
-def complete_short_keys(records: DataFrame, key: str, shortest: int = 8) -> DataFrame:
-    """records with shortened keys ("s:") replaced by the one whole key ("u:") that starts alike; others stay as they are.
+def whole_keys(keys: DataFrame, key: str) -> DataFrame | None:
+    """(s__, w__): for each shortened key ("s:") the one whole key ("u:") that starts alike, or None if no key is shortened.
 
-    Shortened keys are matched on their first `shortest` characters and then in full. Where several whole keys start alike, the
-    short one stays apart: it can't be told whose it is.
+    A key may be cut anywhere. Where several whole keys start alike, the short one is left out: it can't be told whose it is. Whole keys give a
+    prefix for each length that occurs among short ones (fewer than 32) and meet by equality; a prefix of many keys is one row after
+    partial aggregation.
     """
-    short = records.where(F.col(key).startswith("s:")).select(F.col(key).alias("s__")).distinct()
-    whole = records.where(F.col(key).startswith("u:")).select(F.col(key).alias("w__")).distinct()
-    stem = lambda c: F.substring(F.substring(c, 3, 99), 1, shortest)
-    found = (
-        short.join(whole, stem(F.col("s__")) == stem(F.col("w__")))
-        .where(F.substring("w__", 3, 99).startswith(F.substring("s__", 3, 99)))
-        .groupBy("s__")
-        .agg(F.min("w__").alias("w__"), F.count(F.lit(1)).alias("n__"))
-        .where("n__ = 1")
-        .drop("n__")
-    )
-    return records.join(found, F.col(key) == F.col("s__"), "left").withColumn(key, F.coalesce("w__", key)).drop("s__", "w__")
+    short = keys.where(F.col(key).startswith("s:") & (F.length(key) < 34)).select(F.col(key).alias("s__")).distinct()
+    lengths = sorted(r[0] for r in short.select(F.length("s__") - 2).distinct().collect())  # 31 at most
+    if not lengths:
+        return None
+    whole = keys.where(F.col(key).startswith("u:")).select(F.col(key).alias("w__"))
+    starts = whole.select("w__", F.explode(F.array(*[F.concat(F.lit("s:"), F.substring("w__", 3, n)) for n in lengths])).alias("p__"))
+    alone = starts.groupBy("p__").agg(F.min("w__").alias("w__"), F.max("w__").alias("x__")).where("w__ = x__")
+    return short.join(alone, F.col("s__") == F.col("p__")).select("s__", "w__")
 
 
 def survivors(
@@ -87,16 +86,21 @@ def survivors(
         key.alias("key__"), F.col(record_id).cast("long").alias("record__"), F.col(source).alias("of__"), F.col(ingested_at).alias("at__"),
         *[F.when(says_something(F.col(f)), F.col(f).cast("string")).alias(f"f__{i}") for i, f in enumerate(fields)],
     ).where("key__ IS NOT NULL")
-    chosen = complete_short_keys(chosen, "key__").join(ranks, F.col("of__") == F.col("source__"), "left")
+    chosen = chosen.join(ranks, F.col("of__") == F.col("source__"), "left")
     rank = -F.coalesce("rank__", F.lit(2**31 - 1))
 
     def best(i: int) -> Column:
         c = F.col(f"f__{i}")
         return F.max(F.when(c.isNotNull(), F.struct(rank.alias("trust"), F.col("at__").alias("at"), (-F.col("record__")).alias("back"), c.alias("value"))))
 
-    grouped = chosen.groupBy("key__").agg(
-        F.min("record__").alias("first_record"), F.count(F.lit(1)).alias("n_records"), *[best(i).alias(f"b__{i}") for i in range(len(fields))]
+    # keys are formed once, over the records; what shortened keys need is done on a row per key
+    grouped = checkpointed(
+        chosen.groupBy("key__").agg(F.min("record__").alias("first_record"), F.count(F.lit(1)).alias("n_records"), *[best(i).alias(f"b__{i}") for i in range(len(fields))])
     )
+    whole = whole_keys(grouped, "key__")
+    if whole is not None:
+        grouped = grouped.join(whole, F.col("key__") == F.col("s__"), "left").withColumn("key__", F.coalesce("w__", "key__"))
+        grouped = grouped.groupBy("key__").agg(F.min("first_record").alias("first_record"), F.sum("n_records").alias("n_records"), *[F.max(f"b__{i}").alias(f"b__{i}") for i in range(len(fields))])
     shown = [F.struct((-F.col(f"b__{i}.back")).alias("record"), F.col(f"b__{i}.value").alias("value")).alias(f) for i, f in enumerate(fields)]
     return grouped.where(F.col("n_records") >= least).select("first_record", "n_records", *shown)
 

@@ -137,7 +137,7 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df in enough partitions to occupy every core; only small inputs are moved."""
+    """df in enough partitions to occupy every core: texts of an input of fewer partitions than twice the cores are shuffled once, larger inputs stay where they are."""
     wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
@@ -145,8 +145,8 @@ def spread(df: DataFrame) -> DataFrame:
 def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary_file: str | None = None, leaf: int = 1024) -> DataFrame:
     """(doc_id, ids), a row for each row of documents: ids is null for a null text and empty for an empty one.
 
-    Texts are whole, of any length; blanks are encoded like any text. Other columns are dropped. No shuffle: batches of texts pass through
-    Python in Arrow form.
+    Texts are whole, of any length; blanks are encoded like any text. Other columns are dropped. Batches of texts pass through Python in Arrow
+    form; nothing is shuffled unless the input has too few partitions to occupy the cores (see spread).
     """
     path = vocabulary_file or vocabulary()
 
