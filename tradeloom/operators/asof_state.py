@@ -7,7 +7,8 @@ day on which version is the best eligible one (or none). An embedded DuckDB then
 ASOF LEFT JOIN against it.
 
 Events and versions are hash-partitioned by (entity, span of days, salt): a hot entity is split by its spans, and further by
-salts where a span alone is heavy. Versions are copied to each span that they touch and to each salt of a heavy entity.
+salts where a span alone is heavy. Versions are copied to each span that they touch and to each salt of a heavy entity. Buckets and
+salts grow with the rows, so that a bucket stays small enough for one task's memory.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeloom.operators.heavy_keys import heavy_keys, key_frame
+from tradeloom.operators.heavy_keys import ROWS_PER_BUCKET, heavy_keys_and_rows, key_frame
 from tradeloom.session import partitions
 
 SPAN_DAYS = 1461
@@ -60,7 +61,7 @@ def _bucket(events: pa.Table, versions: pa.Table) -> pa.Table:
     found = [(e, s, day, v) for (e, s), rows in by_entity.items() for day, v in current_states(rows)]
     kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
     states = pa.table({n: pa.array([r[i] for r in found], type=t) for i, (n, t) in enumerate(zip(("entity", "span", "day", "version"), kinds))})
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(config={"threads": 1, "temp_directory": ""})  # a bucket is small; nothing is spilled to the machine's disk
     try:
         con.register("events_in", events.select(["event", "entity", "span", "day"]))
         con.register("states_in", states)
@@ -107,7 +108,9 @@ def versions_in_force(
     v = v.where(F.col("entity").isNotNull() & F.col("by_from").isNotNull() & F.col("known").isNotNull() & (F.col("first") < F.col("until"))).drop("known")
     v = v.withColumn("span", F.explode(F.sequence(span(F.col("first")), span(F.col("until") - 1))))
 
-    hot = heavy_keys(e, "entity", share)
+    hot, n = heavy_keys_and_rows(e, "entity", share)
+    buckets = max(4 * partitions(events.sparkSession), -(-(n + versions.count()) // ROWS_PER_BUCKET))
+    salts = max(salts, -(-n // ROWS_PER_BUCKET))
     if hot:
         listed = F.broadcast(key_frame(e, "entity", hot))  # fewer than 1 / share rows
         e = e.join(listed, F.col("entity") == F.col("heavy_key"), "left")
@@ -117,7 +120,6 @@ def versions_in_force(
         v = v.withColumn("salt", F.explode(F.when(F.col("heavy_key").isNotNull(), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("heavy_key")
     else:
         e, v = e.withColumn("salt", F.lit(0)), v.withColumn("salt", F.lit(0))
-    buckets = 4 * partitions(events.sparkSession)
     place = F.pmod(F.xxhash64("entity", "span", "salt"), F.lit(buckets)).cast("int")
     e = e.select("event", "entity", "span", "day", place.alias("bucket"))
     v = v.select("version", "entity", "span", "first", "until", "by_from", "by_recorded", place.alias("bucket"))

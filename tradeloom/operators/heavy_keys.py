@@ -32,8 +32,12 @@ class Measure:
         return (F.sum(self.name) if self.kind == "count" else getattr(F, self.kind)(self.name)).alias(self.name)
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = 0.01, tracked: int = 4096) -> list:
-    """Values of key (None for null) that hold more than about share of the rows; at most 1 / share + 1 of them.
+#: Rows that a task in Python should hold; buckets and salts are as many as that takes.
+ROWS_PER_BUCKET = 500_000
+
+
+def heavy_keys_and_rows(df: DataFrame, key: str, share: float = 0.01, tracked: int = 4096) -> tuple[list, int]:
+    """Values of key (None for null) that hold more than about share of the rows, at most 1 / share + 1 of them, and the number of rows.
 
     The sketch is approximate; it only decides which way rows take, never what comes out.
     """
@@ -44,7 +48,11 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01, tracked: int = 4096
         .first()
     )
     found = [r["item"] for r in top or [] if r["item"] is not None and r["count"] > share * n]
-    return found + [None] * (nulls > share * n and nulls > 0)
+    return found + [None] * (nulls > share * n and nulls > 0), n
+
+
+def heavy_keys(df: DataFrame, key: str, share: float = 0.01, tracked: int = 4096) -> list:
+    return heavy_keys_and_rows(df, key, share, tracked)[0]
 
 
 def key_frame(df: DataFrame, key: str, values: list, name: str = "heavy_key") -> DataFrame:
