@@ -9,17 +9,27 @@ at once; only contested ones take part in the rounds. Matched classes then give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeloom.functions.ids import member_id
 from tradeloom.llm.canonical import plain
 from tradeloom.session import checkpointed
 
-#: Log odds of a pair by how it agrees: fixed values, set from the meaning of the fields, not fitted.
-BASE, NEAR, SWAPPED, OTHER_YEAR, ABOUT_A_YEAR, FILED_AS_TRADED, OTHER_DAY = -2.0, (4.0, 4.0, 3.5, 3.0, 3.0, 3.0), 2.5, 1.5, 0.5, -0.5, -2.75
-FILED_SAME, FILED_CLOSE, FILED_OTHER, FILED_OTHER_FAR = 3.0, 2.5, -1.5, -4.0
-AMOUNT_FITS, AMOUNT_CLASHES, SIDE_SAME, SIDE_OTHER, ASSET_UNKNOWN, BY_NAME = 1.0, -2.0, 1.0, -6.0, -3.5, -0.5
+#: Log odds from which their estimation starts, by field and level; what the data don't show keeps them.
+BASE = -2.0
+START = {
+    "date": {"unknown": 0.0, "off 0": 4.0, "off 1": 4.0, "off 2": 3.5, "off 3 to 5": 3.0, "swapped": 2.5, "year": 1.5, "about a year": 0.5, "as filed": -0.5, "other": -2.75},
+    "filing": {"unknown": 0.0, "same": 3.0, "close": 2.5, "other": -1.5, "other, far": -4.0},
+    "amount": {"unknown": 0.0, "fits": 1.0, "clashes": -2.0},
+    "side": {"unknown": 0.0, "same": 1.0, "other": -6.0},
+    "asset": {"same": 0.0, "open": -3.5},
+    "named": {"id": 0.0, "name": -0.5},
+}
 #: Days by which a date may be inexact, and the width of the spans of days used as blocking keys.
 SLACK, SPAN = 5, 8
 #: Titles and suffixes of names.
@@ -153,24 +163,31 @@ def _year_off(day: Column, by: int) -> Column:
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(i, j, score) for the pairs of classes that some blocking key brings together and whose score isn't hopeless."""
+    """(i, j, date, filing, amount, side, asset, named) for the pairs of classes that some blocking key brings together: how they agree, level by level.
+
+    Dated classes with an asset meet by member, asset and span of days, or of filing days. A class without an asset that has a day meets those of
+    its member by filing day and span of days; without both it could match nothing, whatever else agreed.
+    """
     span = lambda d: F.floor(d / F.lit(SPAN)).cast("int")
     key = lambda kind, *c: F.xxhash64(F.lit(kind), *c)
     no = F.lit(None).cast("long")
     day, dated = F.col("day"), F.col("day").isNotNull() & F.col("asset").isNotNull()
     at = lambda d: F.when(dated & d.isNotNull(), key("day", F.col("member"), F.col("asset"), span(d)))
-    filed = lambda by=(0,): F.flatten(F.transform("filed", lambda f: F.array(*[key("filed", F.col("member"), f + b) for b in by])))
+    years = [_year_off(day, y) + b for y in (1, -1) for b in (-SLACK, 0, SLACK)]
+    ways = [day - SLACK, day, day + SLACK, _swapped(day), *years]
+    on = lambda f, d: key("filed", F.col("member"), f, span(d))
+    filed = lambda days, by=(0,): F.flatten(F.transform("filed", lambda f: F.array(*[F.when(d.isNotNull(), on(f + b, d)) for b in by for d in days])))
     # whatever the days, records of one asset that were filed together meet
     together = lambda by=(0,): F.flatten(F.transform("filed", lambda f: F.array(*[key("together", F.col("member"), F.col("asset"), span(f + b)) for b in by])))
     none = F.array().cast("array<bigint>")
     listed, unfiled = F.col("asset").isNotNull(), F.size("filed") == 0
     # a year off without a filing day on either side; with one on both they meet through it
     left_keys = F.concat(
-        F.array(at(day - SLACK), at(day), at(day + SLACK), at(_swapped(day))), F.when(unfiled, F.array(*[at(_year_off(day, y) + b) for y in (1, -1) for b in (-SLACK, 0, SLACK)])).otherwise(none),
-        F.when(listed, together((-2, 2))).otherwise(filed((-2, -1, 0, 1, 2))),
+        F.array(at(day - SLACK), at(day), at(day + SLACK), at(_swapped(day))), F.when(unfiled, F.array(*[at(y) for y in years])).otherwise(none),
+        F.when(listed, together((-2, 2))).otherwise(filed(ways, (-2, -1, 0, 1, 2))),
     )
     right_keys = F.concat(
-        F.array(F.coalesce(at(day), no)), F.when(unfiled, F.array(at(_year_off(day, 1)), at(_year_off(day, -1)))).otherwise(none), filed(), F.when(listed, together()).otherwise(none)
+        F.array(F.coalesce(at(day), no)), F.when(unfiled, F.array(at(_year_off(day, 1)), at(_year_off(day, -1)))).otherwise(none), filed([day]), F.when(listed, together()).otherwise(none)
     )
     tidy = lambda ks: F.explode(F.array_distinct(F.filter(ks, lambda k: k.isNotNull())))
     kept = lambda d, p, ks: d.select(
@@ -185,40 +202,93 @@ def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     mid = _swapped(F.col("iday")) == F.col("jday")
     year = F.least(*[F.abs(_year_off(F.col("iday"), y) - F.col("jday")) for y in (1, -1)])
     as_filed = F.array_contains("ifiled", F.col("iday")) | F.array_contains("jfiled", F.col("jday"))  # the filing day written as the day of the trade
-    near = F.when(gap == 0, NEAR[0])
-    for d in range(1, SLACK + 1):
-        near = near.when(gap == d, NEAR[d])
-    date = F.when(gap.isNull(), 0.0).otherwise(F.coalesce(near, F.when(mid, SWAPPED), F.when(year == 0, OTHER_YEAR).when(year <= SLACK, ABOUT_A_YEAR), F.when(both & as_filed, FILED_AS_TRADED).when(both, OTHER_DAY)))
+    date = F.when(gap.isNull(), "unknown").when(gap <= 1, F.concat(F.lit("off "), gap.cast("string"))).when(gap == 2, "off 2").when(gap <= SLACK, "off 3 to 5").when(mid, "swapped")
+    date = date.when(year == 0, "year").when(year <= SLACK, "about a year").when(both & as_filed, "as filed").when(both, "other")
     lag = F.array_min(F.flatten(F.transform("ifiled", lambda a: F.transform("jfiled", lambda b: F.abs(a - b)))))
-    far = F.when(gap <= SLACK, FILED_OTHER).otherwise(FILED_OTHER_FAR)
-    filing = F.when(lag.isNull(), 0.0).when(lag == 0, FILED_SAME).when(lag <= 2, FILED_CLOSE).otherwise(far)
+    filing = F.when(lag.isNull(), "unknown").when(lag == 0, "same").when(lag <= 2, "close").when(gap <= SLACK, "other").otherwise("other, far")
     fits = (F.col("ilow") <= F.col("jhigh")) & (F.col("ihigh") >= F.col("jlow"))
-    amount = F.when(fits, AMOUNT_FITS).when(fits.isNull(), 0.0).otherwise(AMOUNT_CLASHES)
-    side = F.when(F.col("iside") == F.col("jside"), SIDE_SAME).when(F.col("iside").isNull() | F.col("jside").isNull(), 0.0).otherwise(SIDE_OTHER)
-    score = F.lit(BASE) + date + filing + amount + side + F.when(both, 0.0).otherwise(ASSET_UNKNOWN) + F.when(F.col("iby_name") | F.col("jby_name"), BY_NAME).otherwise(0.0)
-    return p.select("i", "j", score.alias("score")).where("score > -2").dropDuplicates(["i", "j"])
+    amount = F.when(fits, "fits").when(fits.isNull(), "unknown").otherwise("clashes")
+    side = F.when(F.col("iside") == F.col("jside"), "same").when(F.col("iside").isNull() | F.col("jside").isNull(), "unknown").otherwise("other")
+    asset = F.when(both, "same").otherwise("open")
+    named = F.when(F.col("iby_name") | F.col("jby_name"), "name").otherwise("id")
+    levels = {"date": date, "filing": filing, "amount": amount, "side": side, "asset": asset, "named": named}
+    return p.select("i", "j", *[c.alias(n) for n, c in levels.items()]).where("date IS NOT NULL").dropDuplicates(["i", "j"])
+
+
+def log_odds(patterns: Sequence[tuple[tuple[str, ...], int]], rounds: int = 50, prior: float = 20.0) -> dict[str, dict[str, float]]:
+    """Log odds of each level of each field, and under "base" those of a pair, by expectation maximisation over the counts of patterns of agreement.
+
+    Fields are taken as independent given whether a pair is true. The start values stand for `prior` pairs of each kind, so a level that the
+    data hardly show keeps about its start value; unknown says nothing.
+    """
+    names = list(START)
+    odds = {"base": {"": BASE}, **{f: dict(START[f]) for f in names}}
+    counts = np.array([n for _, n in patterns], float)
+    if not counts.sum():
+        return odds
+    for _ in range(rounds):
+        score = np.array([odds["base"][""] + sum(odds[f][v] for f, v in zip(names, p)) for p, _ in patterns])
+        true = counts / (1 + np.exp(-score))
+        new = {"base": {"": float(np.log((true.sum() + prior) / ((counts - true).sum() + prior)))}}
+        for k, f in enumerate(names):
+            known = np.array([p[k] != "unknown" for p, _ in patterns])
+            m_all, u_all, new[f] = (true * known).sum(), ((counts - true) * known).sum(), {v: 0.0 for v in START[f] if v == "unknown"}
+            for v in START[f]:
+                if v == "unknown":
+                    continue
+                at = np.array([p[k] == v for p, _ in patterns])
+                # the start value as prior: so many pairs, split between true and others as its odds say
+                half = prior / (1 + np.exp(-START[f][v]))
+                m, u = ((true * at).sum() + half) / (m_all + prior), (((counts - true) * at).sum() + prior - half) / (u_all + prior)
+                new[f][v] = float(np.clip(np.log(m / u), -8, 8))
+        settled = max(abs(new[f][v] - odds[f][v]) for f in new for v in new[f]) < 1e-6
+        odds = new
+        if settled:
+            break
+    return odds
+
+
+def scored(pairs: DataFrame, hopeless: float = -4.0) -> DataFrame:
+    """(i, j, score): the log odds of each pair by how it agrees, estimated from all pairs. Pairs below `hopeless`, which can't weigh on others, are left out."""
+    found = pairs.groupBy(*START).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each pattern of levels: fewer than 5,000
+    odds = log_odds([(tuple(r[f] for f in START), r["n"]) for r in sorted(found, key=str)])
+    score = F.lit(odds["base"][""])
+    for f in START:
+        score = score + F.coalesce(*[F.when(F.col(f) == v, F.lit(w)) for v, w in odds[f].items()])
+    return pairs.select("i", "j", score.alias("score")).where(F.col("score") > hopeless)
 
 
-def propagate(edges: DataFrame, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
+def propagate(edges: DataFrame, rounds: int = 200, tolerance: float = 1e-4, damped_after: int = 10) -> DataFrame:
     """(i, j, p): marginal probabilities of the edges (i, j, score) when every node has at most one true edge.
 
     Messages are odds: a node tells an edge 1 / (1 + the sum over its other edges of their odds and the other end's message). score is the log
-    odds of the edge on its own. Rounds end when no message changes by more than the tolerance; each round is checkpointed.
+    odds of the edge on its own. In each round what comes in at a node is summed and joined back to its edges, first at one end, then at the
+    other, and the round is checkpointed; later rounds go half the way, so that messages that swing settle. Rounds end when no message changes by more
+    than the tolerance; if `rounds` pass before that, a warning says how far the last round moved.
     """
-    of_i, of_j = Window.partitionBy("i"), Window.partitionBy("j")
-    e = edges.select("i", "j", F.exp(F.least("score", F.lit(30.0))).alias("r"))
-    counted = checkpointed(e.withColumn("ni", F.count(F.lit(1)).over(of_i)).withColumn("nj", F.count(F.lit(1)).over(of_j)))
+    e = edges.select("i", "j", F.exp(F.least("score", F.lit(20.0))).alias("r"))
+    many = lambda c: e.groupBy(c).agg(F.count(F.lit(1)).alias(f"n{c}"))
+    counted = checkpointed(e.join(many("i"), "i").join(many("j"), "j"))
     alone = (F.col("ni") == 1) & (F.col("nj") == 1)
     settled = counted.where(alone).select("i", "j", (F.col("r") / (1 + F.col("r"))).alias("p"))
     m = counted.where(~alone).select("i", "j", "r", F.lit(1.0).alias("a"), F.lit(1.0).alias("b"))
-    told = lambda own, w: 1 / (1 + F.greatest(F.sum(F.col("r") * F.col(own)).over(w) - F.col("r") * F.col(own), F.lit(0.0)))
-    for _ in range(rounds):
-        n = m.withColumn("a2", told("b", of_i)).withColumn("b2", told("a2", of_j))
+
+    def told(m: DataFrame, end: str, heard: str, says: str, share: float) -> DataFrame:
+        came = m.groupBy(end).agg(F.sum(F.col("r") * F.col(heard)).alias("all__"))
+        new = 1 / (1 + F.greatest(F.col("all__") - F.col("r") * F.col(heard), F.lit(0.0)))
+        return m.join(came, end).withColumn(f"{says}2", share * new + (1 - share) * F.col(says)).drop("all__")
+
+    moved = None
+    for k in range(rounds):
+        share = 1.0 if k < damped_after else 0.5
+        n = told(told(m, "i", "b", "a", share), "j", "a2", "b", share)
         n = checkpointed(n.select("i", "j", "r", F.col("a2").alias("a"), F.col("b2").alias("b"), F.greatest(F.abs(F.col("a2") - F.col("a")), F.abs(F.col("b2") - F.col("b"))).alias("moved")))
         moved = n.agg(F.max("moved")).first()[0]
         m = n.drop("moved")
         if moved is None or moved <= tolerance:
             break
+    else:
+        warnings.warn(f"messages not settled after {rounds} rounds: the last moved by {moved}", stacklevel=2)
     odds = F.col("r") * F.col("a") * F.col("b")
     return settled.unionByName(m.select("i", "j", (odds / (1 + odds)).alias("p")))
 
@@ -247,6 +317,6 @@ def match_trades(vendor: DataFrame, ours: DataFrame, members: DataFrame, referen
         (F.col("asset").isNull() & (F.coalesce(asset_phrase(F.col("asset_description")), F.lit("")) != "")).alias("unlisted"),
     )
     (vc, vi), (dc, di) = _classes(checkpointed(v)), _classes(checkpointed(d))
-    p = propagate(checkpointed(candidate_pairs(vc, dc))).where(F.col("p") >= least)
+    p = propagate(checkpointed(scored(checkpointed(candidate_pairs(vc, dc))))).where(F.col("p") >= least)
     vi, di = vi.select(F.col("class").alias("i"), F.col("id").alias("vendor_no")), di.select(F.col("class").alias("j"), F.col("id").alias("txn_id"))
     return p.join(vi, "i").join(di, "j").select("vendor_no", "txn_id", F.col("p").alias("confidence"))
