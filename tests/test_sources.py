@@ -84,7 +84,7 @@ def test_streams_take_up_only_what_is_new(spark, tmp_path):
     W.merge_batches(read(), f"{tmp_path}/m", f"{tmp_path}/ck2", ["k"], ["ts"])
     spark.createDataFrame([(0, datetime(2023, 1, 1), 9.0)], df.schema).write.mode("append").parquet(src)
     W.merge_batches(read(), f"{tmp_path}/m", f"{tmp_path}/ck2", ["k"], ["ts"])
-    assert {r["k"]: r["value"] for r in spark.read.parquet(f"{tmp_path}/m/v1").collect()} == {0: 9.0, 1: 1.0, 2: 2.0}
+    assert {r["k"]: r["value"] for r in W.read_merged(spark, f"{tmp_path}/m", df.schema).collect()} == {0: 9.0, 1: 1.0, 2: 2.0}
     cache = spark.createDataFrame([("a", "v1", "ok"), ("b", "v1", "failed"), ("c", "v0", "ok")], "doc_id string, version string, status string")
     assert sorted(r["doc_id"] for r in W.not_cached(cache.select("doc_id"), cache, "v1").collect()) == ["b", "c"]
 

@@ -30,12 +30,18 @@ def dense_returns(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     return x.select("ticker", "idx", "date", r.alias("r"))
 
 
-def on_or_after(calendar: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, d, idx): for every day up to the last one of a calendar (from 400 days before the first) the index of the next trading day."""
-    w = Window.partitionBy(*keys).orderBy("date") if keys else Window.orderBy("date")
-    c = calendar.withColumn("prior", F.lag("date").over(w))
-    days = F.sequence(F.coalesce(F.date_add("prior", 1), F.date_sub("date", 400)), F.col("date"))
-    return c.select(*keys, F.explode(days).alias("d"), "idx", F.col("date").alias("on"))
+def with_next(df: DataFrame, day: str, calendar: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """df with name: value of the calendar's first day on or after a day, however far that is; null after the last one.
+
+    calendar: (keys, date, value). Its days are copied back over the gaps between them, and every day before the first counts as the first.
+    """
+    w = Window.partitionBy(*keys).orderBy("date") if keys else Window.orderBy("date")  # one row per trading day
+    days = F.sequence(F.coalesce(F.date_add(F.lag("date").over(w), 1), F.col("date")), F.col("date"))
+    dense = calendar.select(*keys, days.alias("ds"), F.col(value).alias(name)).select(*keys, F.explode("ds").alias("d__"), name)
+    first = calendar.groupBy(*keys).agg(F.min("date").alias("first__"))
+    df = df.join(first, keys, "left") if keys else df.crossJoin(F.broadcast(first))  # one row
+    df = df.withColumn("d__", F.when(F.col(day).isNotNull(), F.greatest(day, "first__")))
+    return df.join(dense, [*keys, "d__"], "left").drop("d__", "first__")
 
 
 def positions(trades: DataFrame, months: int = 12) -> DataFrame:
@@ -60,25 +66,37 @@ def portfolio_days(held: DataFrame, prices: DataFrame, cost_bps: float = 20.0, l
     holdings; today's return is yesterday's weights times today's returns, and a change of weights costs cost_bps.
     """
     cal = market_calendar(prices)
-    nxt = on_or_after(cal, []).select("d", "idx")
     tickers = prices.select("ticker").distinct()
     h = held.join(tickers, "ticker", "left_semi").withColumn("in__", F.date_add("entry", lag_days))
-    h = h.join(nxt.withColumnsRenamed({"d": "in__", "idx": "ei"}), "in__").join(nxt.withColumnsRenamed({"d": "exit", "idx": "xi"}), "exit", "left")
+    h = with_next(with_next(h, "in__", cal, [], "idx", "ei").where("ei IS NOT NULL"), "exit", cal, [], "idx", "xi")
     flow = h.select("portfolio", "ticker", F.explode(F.array(F.struct(F.col("ei").alias("idx"), F.col("raw").alias("v")), F.struct(F.col("xi").alias("idx"), (-F.col("raw")).alias("v")))).alias("f"))
     flow = flow.select("portfolio", "ticker", "f.*").where("idx IS NOT NULL").groupBy("portfolio", "ticker", "idx").agg(F.sum("v").alias("v"))
     r = dense_returns(prices, cal)
-    used = flow.select("portfolio", "ticker").distinct()
-    days = used.join(r, "ticker").join(flow, ["portfolio", "ticker", "idx"], "left")
+    used = flow.groupBy("portfolio", "ticker").agg(F.min("idx").alias("since"))
+    days = used.join(r, "ticker").where("idx >= since").join(flow, ["portfolio", "ticker", "idx"], "left")
     by_ticker = Window.partitionBy("portfolio", "ticker").orderBy("idx")
     days = days.withColumn("h", F.greatest(F.sum(F.coalesce("v", F.lit(0.0))).over(by_ticker.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     # what is left of a sum of floats that cancels is no holding
     days = days.withColumn("h", F.when(F.col("h") < 1e-6, 0.0).otherwise(F.col("h")))
     days = days.withColumn("w", F.coalesce(F.try_divide("h", F.sum("h").over(Window.partitionBy("portfolio", "idx"))), F.lit(0.0)))
     days = days.withColumn("wp", F.lag("w", 1, 0.0).over(by_ticker))
-    out = days.groupBy("portfolio", "idx").agg(F.min("date").alias("date"), F.sum(F.col("wp") * F.col("r")).alias("gross"), (cost_bps / 1e4 * F.sum(F.abs(F.col("w") - F.col("wp")))).alias("cost"), F.sum("w").alias("invested"))
+    out = days.groupBy("portfolio", "idx").agg(
+        F.sum(F.col("wp") * F.col("r")).alias("gross"), (cost_bps / 1e4 * F.sum(F.abs(F.col("w") - F.col("wp")))).alias("cost"), F.sum("w").alias("invested"),
+        F.sum(F.abs(F.col("w") - F.col("wp"))).alias("turnover"), F.count_if(F.col("w") > 0).alias("holdings"),
+    )
+    # days before a portfolio's first entry are days of the result as well
+    every = cal.join(used.select("portfolio").distinct(), F.lit(True))  # portfolios x days is the size of the result
+    out = every.join(out, ["portfolio", "idx"], "left").fillna(0.0, ["gross", "cost", "invested", "turnover"]).fillna(0, ["holdings"])
     return out.withColumn("net", F.col("gross") - F.col("cost"))
 
 
+def activity(daily: DataFrame) -> DataFrame:
+    """Per portfolio: mean turnover a day, mean number of holdings and the first day that any is held, over days from then on."""
+    w = Window.partitionBy("portfolio")
+    x = daily.withColumn("since", F.min(F.when(F.col("holdings") > 0, F.col("date"))).over(w)).where(F.col("date") >= F.col("since"))
+    return x.groupBy("portfolio").agg(F.min("since").alias("active_from"), F.avg("turnover").alias("turnover"), F.avg("holdings").alias("avg_holdings"), N().alias("active_days"))
+
+
 def curve(daily: DataFrame, r: str = "net") -> DataFrame:
     """daily with equity (compounded) and drawdown per portfolio."""
     w = Window.partitionBy("portfolio").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -114,13 +132,12 @@ def abnormal_returns(buys: DataFrame, prices: DataFrame, bench: DataFrame, horiz
     Null where the ticker has no such days or no positive price, or the benchmark no day on or after one of the two.
     """
     own = own_calendar(prices)
-    at = on_or_after(own, ["ticker"]).select("ticker", F.col("d").alias("filed"), F.col("idx").alias("i"))
-    x = buys.select("trade_id", "ticker", "filed").join(at, ["ticker", "filed"], "left").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    x = with_next(buys.select("trade_id", "ticker", "filed"), "filed", own, ["ticker"], "idx", "i").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     px = own.select("ticker", F.col("idx").alias("i"), F.col("date").alias("d0"), F.col("close").alias("p0"))
     py = own.select("ticker", F.col("idx").alias("j"), F.col("date").alias("d1"), F.col("close").alias("p1"))
     x = x.withColumn("j", F.col("i") + F.col("horizon")).join(px, ["ticker", "i"], "left").join(py, ["ticker", "j"], "left")
-    b = on_or_after(bench.select("date", "close").withColumn("idx", F.col("close")), []).select("d", F.col("idx").alias("b"))
-    x = x.join(b.withColumnsRenamed({"d": "d0", "b": "b0"}), "d0", "left").join(b.withColumnsRenamed({"d": "d1", "b": "b1"}), "d1", "left")
+    days = bench.select("date", "close").where("close IS NOT NULL")
+    x = with_next(with_next(x, "d0", days, [], "close", "b0"), "d1", days, [], "close", "b1")
     ar = F.when(F.col("p0") > 0, F.col("p1") / F.col("p0") - F.try_divide("b1", "b0"))
     return x.select("trade_id", "horizon", ar.alias("ar"))
 
@@ -131,16 +148,15 @@ def trade_returns(held: DataFrame, prices: DataFrame, bench: DataFrame, lag_days
     Null where the exit isn't after the entry. win is false where abn is null.
     """
     own = own_calendar(prices)
-    at = on_or_after(own, ["ticker"]).select("ticker", "d", "idx")
     last = own.groupBy("ticker").agg(F.max("idx").alias("last"))
     x = held.select("trade_id", "ticker", F.date_add("entry", lag_days).alias("in__"), F.col("exit").alias("out__"))
-    x = x.join(at.withColumnsRenamed({"d": "in__", "idx": "i"}), ["ticker", "in__"], "left").join(at.withColumnsRenamed({"d": "out__", "idx": "j"}), ["ticker", "out__"], "left").join(last, "ticker", "left")
+    x = with_next(with_next(x, "in__", own, ["ticker"], "idx", "i"), "out__", own, ["ticker"], "idx", "j").join(last, "ticker", "left")
     x = x.withColumn("j", F.coalesce("j", "last"))
     px = own.select("ticker", F.col("idx").alias("i"), F.col("date").alias("d0"), F.col("close").alias("p0"))
     py = own.select("ticker", F.col("idx").alias("j"), F.col("date").alias("d1"), F.col("close").alias("p1"))
     x = x.join(px, ["ticker", "i"], "left").join(py, ["ticker", "j"], "left")
-    b = on_or_after(bench.select("date", "close").withColumn("idx", F.col("close")), []).select("d", F.col("idx").alias("b"))
-    x = x.join(b.withColumnsRenamed({"d": "d0", "b": "b0"}), "d0", "left").join(b.withColumnsRenamed({"d": "d1", "b": "b1"}), "d1", "left")
+    days = bench.select("date", "close").where("close IS NOT NULL")
+    x = with_next(with_next(x, "d0", days, [], "close", "b0"), "d1", days, [], "close", "b1")
     ok = (F.col("j") > F.col("i")) & (F.col("p0") > 0)
     x = x.withColumn("ret", F.when(ok, F.col("p1") / F.col("p0") - 1)).withColumn("abn", F.col("ret") - (F.try_divide("b1", "b0") - 1))
     return x.select("trade_id", "ret", "abn", F.coalesce(F.col("abn") > 0, F.lit(False)).alias("win"), F.when(ok, F.datediff("d1", "d0")).alias("hold_days"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions import scalars as S
+from tradeloom.operators.ranks import ranked
 
 def N() -> Column:
     return F.count(F.lit(1))
@@ -124,8 +125,7 @@ def lorenz(df: DataFrame, holder: str, value: str) -> DataFrame:
     """The Lorenz curve of the holders' positive sums: share of holders and share of volume."""
     v = df.where(F.col(holder).isNotNull()).groupBy(holder).agg(F.sum(value).alias("v")).where("v > 0")
     total = v.agg(F.sum("v").alias("total"), N().alias("n"))
-    w = Window.orderBy("v", holder)  # one row per holder
-    v = v.withColumns({"i": F.row_number().over(w), "below": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0))}).crossJoin(F.broadcast(total))
+    v = ranked(v, [F.col("v"), F.col(holder)], "i", {"below": "v"}).crossJoin(F.broadcast(total))  # one row
     return v.select(holder, (F.col("i") / F.col("n")).alias("holders_share"), (F.col("below") / F.col("total")).alias("volume_share"))
 
 
@@ -146,6 +146,28 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, bins: int)
     return df.where(value.between(low, high)).groupBy(b.alias("bin")).agg(N().alias("n"))
 
 
+def counted_in(df: DataFrame, by: str, domain: Sequence[str]) -> DataFrame:
+    """(place, by, n, share) for each class of a fixed domain in its order, also those without rows; rows of no class of the domain count to the whole only."""
+    known = df.sparkSession.createDataFrame(list(enumerate(domain)), f"place int, {by} string")
+    n = df.groupBy(F.col(by).alias("k__")).agg(N().alias("n"))
+    all_ = df.agg(N().alias("all__"))
+    x = known.join(n, F.col(by) == F.col("k__"), "left").crossJoin(F.broadcast(all_))  # one row
+    return x.select("place", by, F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(100.0 * F.coalesce("n", F.lit(0)), F.col("all__")).alias("share"))
+
+
+def cluster_profile(df: DataFrame, cluster: Column, name: str, document: str, date_ok: Column, ticker: Column) -> DataFrame:
+    """Per cluster of scans: rows, documents, and the share of rows with plausible dates and with a symbol."""
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    return df.groupBy(cluster.alias(name)).agg(N().alias("n"), F.countDistinct(document).alias("documents"), share(date_ok).alias("plausible"), share(S.nonblank(ticker)).alias("with_ticker"))
+
+
+def yields(df: DataFrame, by: str, column: str, kinds: Sequence[str]) -> DataFrame:
+    """Shares of the kinds of a column per value of by; filled tells a column that is wholly blank, whose shares are null."""
+    c = F.lower(F.trim(F.col(column)))
+    any_ = F.max(S.nonblank(F.col(column)))
+    return df.groupBy(by).agg(N().alias("n"), any_.alias("filled"), *[F.when(any_, F.count_if(c == k) / N()).alias(k) for k in kinds])
+
+
 FUNNEL = ("a_dates", "b_sense", "c_asset", "d_size", "e_member")
 
 

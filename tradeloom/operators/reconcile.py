@@ -6,6 +6,8 @@ missing member or amount agrees with nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,6 +109,34 @@ def field_agreement(ours: DataFrame, vendor: DataFrame) -> DataFrame:
     return j.agg(N().alias("pairs"), F.avg((F.col("s") == F.col("vs")).cast("int")).alias("sense"), F.avg(F.coalesce(F.col("low") == F.col("vlow"), F.lit(False)).cast("int")).alias("amount"))
 
 
+def date_agreement(ours: DataFrame, vendor: DataFrame) -> DataFrame:
+    """Over matched keys (member, ticker, direction): how many there are, and the share whose days of trade, and whose filing days, meet on both sides."""
+    key = ["member", "tk", "s"]
+    days = lambda x, d, f, p: x.where("tk <> '' AND member IS NOT NULL").groupBy(*key).agg(F.collect_set(d).alias(f"{p}d"), F.collect_set(f).alias(f"{p}f"))
+    j = days(ours, "d", "disclosure_date", "o").join(days(vendor, "d", "filed", "v"), key)  # a key has no more days than the calendar
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int"))
+    return j.agg(N().alias("keys"), share(F.arrays_overlap("od", "vd")).alias("date_traded"), share(F.arrays_overlap("of", "vf")).alias("date_filed"))
+
+
+def disagreements(ours: DataFrame, vendor: DataFrame) -> DataFrame:
+    """Our rows in cells (member, ticker, day) that the vendor has as well, with kind: agreed (direction and lower bound), amount or sense, and what the vendor has."""
+    cell = ["member", "tk", "d"]
+    o = ours.where("tk <> '' AND d IS NOT NULL AND member IS NOT NULL")
+    v = vendor.where("tk <> '' AND d IS NOT NULL AND member IS NOT NULL").groupBy(*cell).agg(F.array_sort(F.collect_set("s")).alias("senses"), F.array_sort(F.collect_set(F.struct("s", "low"))).alias("pairs"))
+    x = o.join(v, cell)
+    agreed = F.exists("pairs", lambda p: (p["s"] == F.col("s")) & (p["low"] == F.col("low")))
+    kind = F.when(F.coalesce(agreed, F.lit(False)), "agreed").when(F.array_contains("senses", F.col("s")), "amount").otherwise("sense")
+    return x.select("txn_id", kind.alias("kind"), F.array_join("senses", ",").alias("vendor_senses"))
+
+
+def document_drift(ours: DataFrame, baseline: DataFrame, document: str) -> DataFrame:
+    """Per document the rows of either side and state: equal, superset (all of the baseline's and more), missing, added or drift (fewer)."""
+    n = lambda x, name: x.where(F.col(document).isNotNull()).groupBy(document).agg(N().alias(name))
+    j = n(ours, "ours").join(n(baseline, "baseline"), document, "full_outer").fillna(0, ["ours", "baseline"])
+    a, b = F.col("ours"), F.col("baseline")
+    return j.withColumn("state", F.when(a == b, "equal").when(b == 0, "added").when(a == 0, "missing").when(a > b, "superset").otherwise("drift"))
+
+
 def cell_agreement(ours: DataFrame, vendor: DataFrame) -> DataFrame:
     """Per shared cell (member, ticker, day) whether the sets of directions meet, and the directions that either side has."""
     o = ours.where("tk <> ''").groupBy("member", "tk", "d").agg(F.array_sort(F.collect_set("s")).alias("ours"))  # few directions exist
@@ -159,7 +189,8 @@ def nearest_signed(ours: DataFrame, vendor: DataFrame, days: int = 3) -> DataFra
     v = vendor.where("tk <> '' AND d IS NOT NULL").select("member", "tk", "s", F.col("d").alias("vd")).distinct()
     v = v.select("*", F.explode(F.sequence(F.date_sub("vd", days), F.date_add("vd", days))).alias("d"))
     j = ours.where("tk <> ''").select("txn_id", "member", "tk", "s", "d").join(v, ["member", "tk", "s", "d"]).withColumn("delta", F.datediff("vd", "d"))
-    return j.groupBy("txn_id").agg(F.min(F.struct(F.abs("delta").alias("a"), F.col("delta").alias("delta"))).alias("m")).select("txn_id", F.col("m.delta").alias("delta"))
+    near = j.groupBy("txn_id").agg(F.min(F.struct(F.abs("delta").alias("a"), F.col("delta").alias("delta"))).alias("m")).select("txn_id", F.col("m.delta").alias("delta"))
+    return near.withColumn("status", F.when(F.col("delta") == 0, "same_day").when(F.col("delta") < 0, "vendor_earlier").otherwise("vendor_later"))
 
 
 GROUP = ["member", "tk", "s"]
@@ -179,8 +210,21 @@ def one_to_one_exact(ours: DataFrame, vendor: DataFrame) -> tuple[DataFrame, Dat
     return pairs, o.join(v, key, "left_anti"), v.join(o, key, "left_anti")
 
 
+def _root(up: list[int], i: int) -> int:
+    """The end of a chain of links, which are shortened on the way."""
+    end = i
+    while up[end] != end:
+        end = up[end]
+    while up[i] != end:
+        up[i], i = end, up[i]
+    return end
+
+
 def _greedy(ours: pd.DataFrame, vendor: pd.DataFrame) -> pd.DataFrame:
-    """Pairs within each run of a bucket of many; rows come as numbers of days."""
+    """Pairs within each run of a bucket of many; rows come as numbers of days.
+
+    Free rows of the vendor are found by bisection and by links over the taken ones to the next free row on either side, in near constant time.
+    """
     sides: dict[tuple, tuple[list, list]] = {}
     for k, df in enumerate((ours, vendor)):
         for *key, d, i, f in zip(*(df[c].tolist() for c in (*GROUP, "run", "d", "id", "f"))):
@@ -188,12 +232,20 @@ def _greedy(ours: pd.DataFrame, vendor: pd.DataFrame) -> pd.DataFrame:
     out = []
     for o, v in sides.values():
         o.sort(key=lambda x: x[:2])
-        free = sorted(v, key=lambda x: x[:2])
+        v.sort(key=lambda x: x[:2])
+        days, n = [x[0] for x in v], len(v)
+        after, before = list(range(n + 1)), list(range(n + 1))  # before[i + 1] stands for row i, 0 for none
         for d, i, f in o:
-            gap, k = min(((abs(d - x[0]), k) for k, x in enumerate(free)), default=(PAIR_DAYS + 1, -1))
-            if gap > PAIR_DAYS:
+            at = bisect_left(days, d)
+            right, left = _root(after, at), _root(before, at) - 1
+            if left >= 0:
+                left = _root(after, bisect_left(days, days[left]))  # the first free row of that day
+            gaps = [(abs(d - days[x]), x) for x in (left, right) if 0 <= x < n]
+            if not gaps or min(gaps)[0] > PAIR_DAYS:
                 continue
-            _, j, g = free.pop(k)
+            gap, x = min(gaps)
+            after[x], before[x + 1] = x + 1, x
+            _, j, g = v[x]
             out.append((i, j, gap, not (pd.isna(f) or pd.isna(g)) and abs(f - g) <= FILING_DAYS))
     return pd.DataFrame(out, columns=["txn_id", "vendor_no", "gap", "same_filing"])
 

@@ -48,14 +48,15 @@ def term_at(events: DataFrame, terms: DataFrame, event_id: str, entity: str, dat
 
     Both tables carry the entity under the same name. Ties go to the smaller term_id.
     """
-    j = events.select(event_id, F.col(entity).alias("e__"), F.col(date).alias("at__")).where("e__ IS NOT NULL AND at__ IS NOT NULL")
+    e = events.select(event_id, F.col(entity).alias("e__"), F.col(date).alias("at__")).where("e__ IS NOT NULL AND at__ IS NOT NULL")
     t = terms.select(F.col(entity).alias("e__"), F.col(term_id).alias("t__"), F.col(start).alias("s__"), F.col(end).alias("x__")).where("s__ IS NOT NULL")
-    j = j.join(t, "e__")
+    # an entity's days meet its terms, not its events: a hot entity has no more of them than the calendar
+    j = e.select("e__", "at__").distinct().join(t, "e__")
     holds = (F.col("s__") <= F.col("at__")) & (F.col("x__").isNull() | (F.col("at__") < F.col("x__")))
     rank = F.when(holds, 0).when(F.col("s__") <= F.col("at__"), 1).otherwise(2)
     near = F.when(rank == 1, -_day(F.col("s__"))).otherwise(_day(F.col("s__")))
-    best = j.groupBy(event_id).agg(F.min(F.struct(rank.alias("r"), near.alias("n"), F.col("t__").alias("t"))).alias("b"))
-    return best.select(event_id, F.col("b.t").alias(term_id), F.col("b.r").alias("how"))
+    best = j.groupBy("e__", "at__").agg(F.min(F.struct(rank.alias("r"), near.alias("n"), F.col("t__").alias("t"))).alias("b"))
+    return e.join(best, ["e__", "at__"]).select(event_id, F.col("b.t").alias(term_id), F.col("b.r").alias("how"))
 
 
 def active_at(events: DataFrame, periods: DataFrame, entity: str, date: str, start: str, end: str) -> DataFrame:
@@ -81,18 +82,27 @@ def committees_by_congress(df: DataFrame) -> DataFrame:
 def distinct_in_span(df: DataFrame, group: str, date: str, counted: str, before: int, after: int, name: str) -> DataFrame:
     """Adds the number of distinct values of counted among the rows of the same group from `before` days before to `after` days after.
 
-    Copies of a (group, day, value) are taken once into the window, so a day with many rows weighs no more than its distinct values.
+    A value is seen from `after` days before to `before` days after each of its days. These spans, merged where they touch, open and close on days; the
+    running sum of openings less closings over a group's days is the number seen. No row carries a list, and what is ordered per group is at
+    most its days.
     """
-    days = df.where(F.col(group).isNotNull() & F.col(date).isNotNull()).groupBy(group, date).agg(F.collect_set(counted).alias("v__"))
-    w = Window.partitionBy(group).orderBy("day__").rangeBetween(-before, after)
-    days = days.withColumn("day__", _day(F.col(date))).withColumn(name, F.size(F.array_distinct(F.flatten(F.collect_list("v__").over(w)))))
-    days = days.select(F.col(group).alias("g__"), F.col(date).alias("d__"), name)
+    rows = df.where(F.col(group).isNotNull() & F.col(date).isNotNull()).select(F.col(group).alias("g__"), F.col(counted).alias("v__"), _day(F.col(date)).alias("n__"))
+    each = Window.partitionBy("g__", "v__").orderBy("n__")
+    seen = rows.where("v__ IS NOT NULL").distinct()
+    opens = F.coalesce(F.col("n__") - after > F.lag("n__").over(each) + before + 1, F.lit(True)).cast("int")
+    seen = seen.withColumn("opens", opens).withColumn("run", F.sum("opens").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = seen.groupBy("g__", "v__", "run").agg((F.min("n__") - after).alias("a"), (F.max("n__") + before + 1).alias("z"))
+    steps = runs.select("g__", F.explode(F.array(F.struct(F.col("a").alias("n__"), F.lit(1).alias("step")), F.struct(F.col("z").alias("n__"), F.lit(-1).alias("step")))).alias("s")).select("g__", "s.*")
+    steps = steps.withColumn("asked", F.lit(0)).unionByName(rows.select("g__", "n__").distinct().select("g__", "n__", F.lit(0).alias("step"), F.lit(1).alias("asked")))
+    days = steps.groupBy("g__", "n__").agg(F.sum("step").alias("step"), F.max("asked").alias("asked"))
+    total = F.sum("step").over(Window.partitionBy("g__").orderBy("n__").rowsBetween(Window.unboundedPreceding, 0))
+    days = days.withColumn(name, total.cast("int")).where("asked = 1").select("g__", F.date_add(F.lit("1970-01-01").cast("date"), F.col("n__")).alias("d__"), name)
     return df.join(days, (F.col(group) == F.col("g__")) & (F.col(date) == F.col("d__")), "left").drop("g__", "d__")
 
 
 def with_trading_day(df: DataFrame, date: str, calendar: DataFrame, day: str = "date", name: str = "trading_day") -> DataFrame:
-    """Adds the first day of the calendar on or after the date: the calendar's days are copied back over the gaps before them."""
-    w = Window.orderBy(day)  # one row per trading day
-    c = calendar.select(day).distinct().withColumn("prior__", F.lag(day).over(w))
-    dense = c.select(F.explode(F.sequence(F.coalesce(F.date_add("prior__", 1), F.date_sub(day, 30)), F.col(day))).alias("d__"), F.col(day).alias(name))
-    return df.join(dense, F.col(date) == F.col("d__"), "left").drop("d__")
+    """Adds the first day of the calendar on or after the date, however far; null after the last. The calendar's days are copied back over the gaps between them."""
+    c = calendar.select(F.col(day).alias("c__")).where("c__ IS NOT NULL").distinct()
+    dense = c.withColumn("prior__", F.lag("c__").over(Window.orderBy("c__"))).select(F.explode(F.sequence(F.coalesce(F.date_add("prior__", 1), F.col("c__")), F.col("c__"))).alias("d__"), F.col("c__").alias(name))
+    x = df.crossJoin(F.broadcast(c.agg(F.min("c__").alias("first__")))).withColumn("at__", F.when(F.col(date).isNotNull(), F.greatest(date, "first__")))  # one row
+    return x.join(dense, F.col("at__") == F.col("d__"), "left").drop("d__", "at__", "first__")

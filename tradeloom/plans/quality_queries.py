@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tradeloom.functions import scalars as S
 from tradeloom.operators import dedup as D
 from tradeloom.operators import quality as A
+from tradeloom.operators.ranks import quantiles
 from tradeloom.plans.registry import Registry
 from tradeloom.session import table
 
@@ -295,10 +296,80 @@ def committee_join(spark, d):
     return table(spark, d, "members").select("bioguide_id", F.array_join(F.array_sort(F.array_distinct(F.split("committee_membership", "; "))), "; ").alias("committees"))
 
 
-@query("approximate_counts", "SELECT chamber, 1 AS close FROM disclosures GROUP BY chamber")
+@query("approximate_counts", "SELECT chamber, count(DISTINCT ticker) AS tickers, quantile_disc(amount_midpoint, 0.5) AS median, 1 AS close FROM disclosures GROUP BY chamber")
 def approximate_counts(spark, d):
-    exact, fast = F.countDistinct("ticker"), F.approx_count_distinct("ticker", 0.02)
-    return _ours(spark, d).groupBy("chamber").agg(exact.alias("exact"), fast.alias("fast")).select("chamber", (F.abs(F.col("exact") - F.col("fast")) <= 0.1 * F.col("exact")).cast("int").alias("close"))
+    """Exact values, and whether the sketches come within their bounds of them."""
+    exact, fast, c = F.countDistinct("ticker"), F.approx_count_distinct("ticker", 0.02), F.col("amount_midpoint")
+    x = _ours(spark, d).groupBy("chamber").agg(exact.alias("tickers"), fast.alias("fast"), F.percentile_approx(c, 0.5, 10_000_000).alias("median"), F.approx_percentile(c, [0.45, 0.55], 1000).alias("rough"))
+    near = (F.abs(F.col("tickers") - F.col("fast")) <= 0.1 * F.col("tickers")) & (F.col("rough")[0] <= F.col("median")) & (F.col("median") <= F.col("rough")[1])
+    return x.select("chamber", "tickers", "median", near.cast("int").alias("close"))
+
+
+@query("counted_in", "WITH k AS (SELECT * FROM (VALUES (0, 'self'), (1, 'joint'), (2, 'spouse'), (3, 'dependent'), (4, 'trust')) t(place, class)), o AS (SELECT CASE WHEN s LIKE '%joint%' OR s = 'jt' THEN 'joint' WHEN s LIKE '%self%' THEN 'self' WHEN s LIKE '%spouse%' OR s = 'sp' THEN 'spouse' WHEN s LIKE '%dependent%' OR s LIKE '%child%' OR s = 'dc' THEN 'dependent' ELSE 'other' END AS class FROM (SELECT lower(trim(coalesce(owner, ''))) AS s FROM disclosures)) SELECT place, k.class, count(o.class) AS n, 100.0::DOUBLE * count(o.class) / (SELECT count(*) FROM o) AS share FROM k LEFT JOIN o ON o.class = k.class GROUP BY ALL", "share")
+def counted_in(spark, d):
+    return A.counted_in(_ours(spark, d).select(S.owner_class(F.col("owner")).alias("class")), "class", ["self", "joint", "spouse", "dependent", "trust"])
+
+
+@query("source_yields", "SELECT chamber, count(*) AS n, max(trim(coalesce(x, '')) NOT IN ('', 'nan')) AS filled, " + ", ".join(f"CASE WHEN max(trim(coalesce(x, '')) NOT IN ('', 'nan')) THEN count_if(lower(trim(x)) = '{k}') / count(*) END AS {k}" for k in ("explicit", "dictionary", "none")) + " FROM (SELECT chamber, CASE WHEN chamber = 'House' THEN ticker_source END AS x FROM disclosures) GROUP BY chamber")
+def source_yields(spark, d):
+    """The Senate's column is wholly blank here, which is told apart from shares of nothing."""
+    x = _ours(spark, d).select("chamber", F.when(F.col("chamber") == "House", F.col("ticker_source")).alias("x"))
+    return A.yields(x, "chamber", "x", ["explicit", "dictionary", "none"])
+
+
+_CENSUS = "(SELECT doc_id, CASE CAST(min(ptr_no) AS BIGINT) % 3 WHEN 0 THEN 'typed' WHEN 1 THEN 'turned' ELSE 'handwritten' END AS cluster FROM ptr_index WHERE doc_id IS NOT NULL GROUP BY doc_id)"
+
+
+def _census(spark, d):
+    kind = F.when(F.min("ptr_no") % 3 == 0, "typed").when(F.min("ptr_no") % 3 == 1, "turned").otherwise("handwritten")
+    return table(spark, d, "ptr_index").where("doc_id IS NOT NULL").groupBy("doc_id").agg(kind.alias("cluster"))
+
+
+@query("scan_clusters", f"SELECT txn_id, cluster FROM (SELECT txn_id, doc_id FROM disclosures WHERE provenance LIKE '%ocr%') LEFT JOIN {_CENSUS} USING (doc_id)")
+def scan_clusters(spark, d):
+    return _ours(spark, d).where(F.col("provenance").contains("ocr")).select("txn_id", "doc_id").join(_census(spark, d), "doc_id", "left").select("txn_id", "cluster")
+
+
+@query("cluster_profile", f"SELECT cluster, count(*) AS n, count(DISTINCT doc_id) AS documents, avg((lower(trim(coalesce(date_confidence, ''))) = 'plausible')::INT) AS plausible, avg((trim(coalesce(ticker, '')) NOT IN ('', 'nan'))::INT) AS with_ticker FROM disclosures JOIN {_CENSUS} USING (doc_id) WHERE provenance LIKE '%ocr%' GROUP BY cluster")
+def cluster_profile(spark, d):
+    x = _ours(spark, d).where(F.col("provenance").contains("ocr")).join(_census(spark, d), "doc_id")
+    return A.cluster_profile(x, F.col("cluster"), "cluster", "doc_id", F.lower(F.trim("date_confidence")) == "plausible", F.col("ticker"))
+
+
+@query("prompt_filings", "SELECT txn_id, disclosure_date AS signal_date FROM disclosures WHERE date_diff('day', transaction_date, disclosure_date) BETWEEN 0 AND 10")
+def prompt_filings(spark, d):
+    """The day on which a trade became known, for those filed within ten days."""
+    return A.with_lag(_ours(spark, d)).where("lag_days BETWEEN 0 AND 10").select("txn_id", F.col("disclosure_date").alias("signal_date"))
+
+
+@query("filed_in_year", "SELECT txn_id FROM disclosures WHERE year(disclosure_date) = 2021")
+def filed_in_year(spark, d):
+    """The year as a range of days, which reaches the scan."""
+    return _ours(spark, d).where("disclosure_date >= DATE '2021-01-01' AND disclosure_date < DATE '2022-01-01'").select("txn_id")
+
+
+@query("size_cuts", "SELECT txn_id, amount_midpoint >= 250000 AS ge250k, amount_midpoint > (SELECT quantile_cont(amount_midpoint, 0.9) FROM disclosures) AS above_q90 FROM disclosures WHERE amount_midpoint IS NOT NULL")
+def size_cuts(spark, d):
+    x = _ours(spark, d).where("amount_midpoint IS NOT NULL")
+    x = x.select("txn_id", "amount_midpoint").crossJoin(F.broadcast(quantiles(x, "amount_midpoint", {"q": 0.9})))  # one row
+    return x.select("txn_id", (F.col("amount_midpoint") >= 250000).alias("ge250k"), (F.col("amount_midpoint") > F.col("q")).alias("above_q90"))
+
+
+@query("year_dashboard", "SELECT year(disclosure_date) AS year, chamber, count(*) AS rows, count(DISTINCT doc_id) AS documents, count(DISTINCT bioguide_id) AS members, count_if(provenance LIKE '%ocr%') AS scanned, count(ticker) AS with_ticker, sum(amount_midpoint) AS volume FROM disclosures GROUP BY ALL")
+def year_dashboard(spark, d):
+    by = _ours(spark, d).groupBy(F.year("disclosure_date").alias("year"), "chamber")
+    return by.agg(A.N().alias("rows"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("bioguide_id").alias("members"), F.count_if(F.col("provenance").contains("ocr")).alias("scanned"), F.count("ticker").alias("with_ticker"), F.sum("amount_midpoint").alias("volume"))
+
+
+@query("census_of_kinds", "SELECT year(disclosure_date) AS year, count_if(filing_type = 'P') AS reports, count_if(filing_type <> 'P') AS others, count_if(filing_type IS NULL) AS unstated, coalesce(string_agg(DISTINCT last_name, '; ' ORDER BY last_name) FILTER (filing_type = 'P'), '') AS filers FROM ptr_index GROUP BY 1")
+def census_of_kinds(spark, d):
+    by, p = table(spark, d, "ptr_index").groupBy(F.year("disclosure_date").alias("year")), F.col("filing_type") == "P"
+    return by.agg(F.count_if(p).alias("reports"), F.count_if(~p).alias("others"), F.count_if(F.col("filing_type").isNull()).alias("unstated"), F.array_join(F.array_sort(F.collect_set(F.when(p, F.col("last_name")))), "; ").alias("filers"))  # one entry per member
+
+
+@query("full_short_ids", "SELECT trade_no, substr(sha256(concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in ("filing_id", "filer_id", "transaction_date", "notification_date", "owner", "ticker", "asset_name", "transaction_type", "amount_range_label", "comment")) + ")), 1, 24) AS id FROM open_trades")
+def full_short_ids(spark, d):
+    return table(spark, d, "open_trades").select("trade_no", D.short_id(["filing_id", "filer_id", "transaction_date", "notification_date", "owner", "ticker", "asset_name", "transaction_type", "amount_range_label", "comment"]).alias("id"))
 
 
 def queries() -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tradeloom.operators import reconcile as R
+from tradeloom.operators.quality import counted_in
 from tradeloom.plans.registry import Registry
 from tradeloom.session import table
 
@@ -147,7 +148,7 @@ def inclusion(spark, d):
 
 
 @query("nearest_signed", """
-SELECT txn_id, CAST(delta AS INTEGER) AS delta FROM (SELECT o.txn_id, date_diff('day', o.d, v.d) AS delta, row_number() OVER (PARTITION BY o.txn_id ORDER BY abs(date_diff('day', o.d, v.d)), v.d) AS rn
+SELECT txn_id, CAST(delta AS INTEGER) AS delta, CASE WHEN delta = 0 THEN 'same_day' WHEN delta < 0 THEN 'vendor_earlier' ELSE 'vendor_later' END AS status FROM (SELECT o.txn_id, date_diff('day', o.d, v.d) AS delta, row_number() OVER (PARTITION BY o.txn_id ORDER BY abs(date_diff('day', o.d, v.d)), v.d) AS rn
 FROM o JOIN v ON o.member = v.member AND o.tk = v.tk AND o.s = v.s AND abs(date_diff('day', o.d, v.d)) <= 3 WHERE o.tk <> '') WHERE rn = 1""")
 def nearest_signed(spark, d):
     return R.nearest_signed(*_sides(spark, d))
@@ -194,6 +195,58 @@ def vendor_chamber_filter(spark, d):
     return table(spark, d, "quiver_missing_trades").where(F.col("chamber").contains("Rep")).select("vendor_no")
 
 
+@query("date_agreement", """
+, a AS (SELECT member, tk, s, list(DISTINCT d) FILTER (d IS NOT NULL) AS ds, list(DISTINCT disclosure_date) FILTER (disclosure_date IS NOT NULL) AS fs FROM o WHERE tk <> '' AND member IS NOT NULL GROUP BY ALL),
+b AS (SELECT member, tk, s, list(DISTINCT d) FILTER (d IS NOT NULL) AS ds, list(DISTINCT filed) FILTER (filed IS NOT NULL) AS fs FROM v WHERE tk <> '' AND member IS NOT NULL GROUP BY ALL)
+SELECT count(*) AS keys, avg(coalesce(list_has_any(a.ds, b.ds), false)::INT) AS date_traded, avg(coalesce(list_has_any(a.fs, b.fs), false)::INT) AS date_filed FROM a JOIN b ON a.member = b.member AND a.tk = b.tk AND a.s = b.s""")
+def date_agreement(spark, d):
+    return R.date_agreement(*_sides(spark, d))
+
+
+@query("disagreements", """
+SELECT x.txn_id, CASE WHEN EXISTS (SELECT 1 FROM v y WHERE y.member = x.member AND y.tk = x.tk AND y.d = x.d AND y.s = x.s AND y.low = x.low) THEN 'agreed' WHEN list_contains(c.ss, x.s) THEN 'amount' ELSE 'sense' END AS kind, array_to_string(c.ss, ',') AS vendor_senses
+FROM o x JOIN (SELECT member, tk, d, list_sort(list(DISTINCT s)) AS ss FROM v WHERE tk <> '' AND d IS NOT NULL GROUP BY ALL) c ON c.member = x.member AND c.tk = x.tk AND c.d = x.d WHERE x.tk <> ''""")
+def disagreements(spark, d):
+    return R.disagreements(*_sides(spark, d))
+
+
+@query("document_drift", """
+, a AS (SELECT doc_id, count(*) AS n FROM disclosures WHERE doc_id IS NOT NULL GROUP BY 1), b AS (SELECT doc_id, count(*) AS n FROM disclosures WHERE doc_id IS NOT NULL AND occurrence_index = 0 AND provenance NOT LIKE '%ocr%' GROUP BY 1)
+SELECT doc_id, coalesce(a.n, 0) AS ours, coalesce(b.n, 0) AS baseline, CASE WHEN coalesce(a.n, 0) = coalesce(b.n, 0) THEN 'equal' WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'missing' WHEN a.n > b.n THEN 'superset' ELSE 'drift' END AS state FROM a FULL JOIN b USING (doc_id)""")
+def document_drift(spark, d):
+    x = table(spark, d, "disclosures")
+    return R.document_drift(x, x.where("occurrence_index = 0 AND provenance NOT LIKE '%ocr%'"), "doc_id")
+
+
+_VERDICTS = (("agreed", False), ("date_gap", True), ("ticker_gap", True), ("structural", False), ("ours_only", False))
+
+
+@query("verdict_table", f""", k AS (SELECT unnest([0, 1, 2, 3, 4]) AS place, unnest(['agreed', 'date_gap', 'ticker_gap', 'structural', 'ours_only']) AS verdict, unnest([false, true, true, false, false]) AS to_fix), t AS ({_OURS})
+SELECT place, k.verdict, to_fix, count(t.verdict) AS n, 100.0::DOUBLE * count(t.verdict) / (SELECT count(*) FROM t) AS share FROM k LEFT JOIN t ON t.verdict = k.verdict GROUP BY ALL""")
+def verdict_table(spark, d):
+    """Every verdict in a fixed order, those that a correction could mend marked, also those without rows."""
+    fix = spark.createDataFrame([(v, f) for v, f in _VERDICTS], "verdict string, to_fix boolean")
+    return counted_in(R.our_verdicts(*_sides(spark, d)), "verdict", [v for v, _ in _VERDICTS]).join(F.broadcast(fix), "verdict")  # five rows
+
+
+@query("senate_vendor_rows", " SELECT vendor_no FROM quiver_missing_trades WHERE lower(chamber) = 'senate'")
+def senate_vendor_rows(spark, d):
+    return table(spark, d, "quiver_missing_trades").where(F.lower("chamber") == "senate").select("vendor_no")
+
+
+@query("year_verdicts", """
+, a AS (SELECT year(d) AS year, count(*) AS n, count_if(ocr) AS c FROM o WHERE d IS NOT NULL GROUP BY 1), b AS (SELECT year(d) AS year, count(*) AS n FROM v WHERE d IS NOT NULL GROUP BY 1)
+SELECT coalesce(a.year, b.year) AS year, coalesce(a.n, 0) AS ours, coalesce(b.n, 0) AS vendor, coalesce(a.c, 0) AS ocr, CASE WHEN b.n IS NULL THEN 'not_at_vendor' WHEN a.n IS NULL THEN 'absent' WHEN a.c = a.n THEN 'scanned_only' WHEN abs(a.n - b.n) <= 0.05 * b.n THEN 'close' WHEN a.n > b.n THEN 'more' ELSE 'fewer' END AS verdict FROM a FULL JOIN b ON a.year = b.year""")
+def year_verdicts(spark, d):
+    """Rows per year of trade on either side, a difference of up to a twentieth counted as close, years that we know from scans only told apart."""
+    o, v = _sides(spark, d)
+    a = o.where("d IS NOT NULL").groupBy(F.year("d").alias("year")).agg(R.N().alias("a"), F.count_if("ocr").alias("c"))
+    j = a.join(v.where("d IS NOT NULL").groupBy(F.year("d").alias("year")).agg(R.N().alias("b")), "year", "full_outer")
+    n, m = F.col("a"), F.col("b")
+    verdict = F.when(m.isNull(), "not_at_vendor").when(n.isNull(), "absent").when(F.col("c") == n, "scanned_only").when(F.abs(n - m) <= 0.05 * m, "close").when(n > m, "more").otherwise("fewer")
+    return j.select("year", F.coalesce("a", F.lit(0)).alias("ours"), F.coalesce("b", F.lit(0)).alias("vendor"), F.coalesce("c", F.lit(0)).alias("ocr"), verdict.alias("verdict"))
+
+
 def queries() -> dict:
     return dict(query.found)
 

@@ -109,44 +109,43 @@ def vendor_asset(spark, d):
     return table(spark, d, "quiver_missing_trades").select("vendor_no", S.vendor_asset(F.col("tickertype")).alias("kind"))
 
 
-def _kinds(chamber: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}'" for n, p in S.KINDS[chamber]) + " END"
+_RULES = (("Bond", r"\bNOTES?\b|\bBONDS?\b|\bDUE\b"), ("Fund", r"\bFUND\b|\bETF\b|\bINDEX\b"), ("Stock", r"\bINC\b|\bCORP|\bPLC\b|\bCOMPANY\b|COMMON"))
 
 
-@query("inferred_kind", f"""
-SELECT line_no, {_kinds("house")} AS house, {_kinds("senate")} AS senate FROM (SELECT line_no, regexp_replace(replace(upper(coalesce(asset_description, '')), chr(160), ' '), '[^\\x00-\\x7F]', '_', 'g') AS s FROM ocr_lines_2022)""")
+@query("inferred_kind", """
+SELECT line_no, CASE WHEN regexp_matches(s, '\\bNOTES?\\b|\\bBONDS?\\b|\\bDUE\\b') THEN 'Bond' WHEN regexp_matches(s, '\\bFUND\\b|\\bETF\\b|\\bINDEX\\b') THEN 'Fund' WHEN regexp_matches(s, '\\bINC\\b|\\bCORP|\\bPLC\\b|\\bCOMPANY\\b|COMMON') THEN 'Stock' END AS kind
+FROM (SELECT line_no, regexp_replace(replace(upper(coalesce(asset_description, '')), chr(160), ' '), '[^\\x00-\\x7F]', '_', 'g') AS s FROM ocr_lines_2022)""")
 def inferred_kind(spark, d):
-    a = F.col("asset_description")
-    return table(spark, d, "ocr_lines_2022").select("line_no", S.inferred_kind(a, "house").alias("house"), S.inferred_kind(a, "senate").alias("senate"))
+    return table(spark, d, "ocr_lines_2022").select("line_no", S.inferred_kind(F.col("asset_description"), _RULES).alias("kind"))
 
 
 @query("explicit_ticker", """
 SELECT txn_id, CASE WHEN length(s) BETWEEN 1 AND 5 THEN s END AS symbol
-FROM (SELECT txn_id, trim(regexp_extract(coalesce(asset_description, ''), '[-(]\\s*([A-Z][A-Z0-9.]{0,5})\\)?\\s*$', 1), '.') AS s FROM disclosures)""")
+FROM (SELECT txn_id, trim(regexp_extract(coalesce(asset_description, ''), '(?:-|\\()\\s*([A-Z](?:[A-Z0-9]|[.]){0,5})[)]?\\s*$', 1), '.') AS s FROM disclosures)""")
 def explicit_ticker(spark, d):
     return table(spark, d, "disclosures").select("txn_id", S.explicit_ticker(F.col("asset_description")).alias("symbol"))
 
 
 @query("name_is_ticker", """
-SELECT line_no, nullif(regexp_extract(trim(coalesce(asset_description, '')), '^([A-Z]{1,5})(?:[.-][A-Z])?(?:\\s+(?:PUT|CALL))?$', 1), '') AS symbol FROM ocr_lines_2022""")
+SELECT line_no, nullif(regexp_extract(trim(coalesce(asset_description, '')), '^([A-Z]{1,5})([.][A-Z])?(\\s+(PUT|CALL))?$', 1), '') AS symbol FROM ocr_lines_2022""")
 def name_is_ticker(spark, d):
     return table(spark, d, "ocr_lines_2022").select("line_no", S.name_is_ticker(F.col("asset_description")).alias("symbol"))
 
 
 @query("inline_ticker", """
-SELECT line_no, upper(list_filter(regexp_extract_all(coalesce(asset_description, ''), '\\(([A-Za-z][A-Za-z.]{0,6})\\)', 1), lambda x: lower(x) NOT IN ('partial', 'full'))[1]) AS symbol FROM ocr_lines_2022""")
+SELECT line_no, upper(list_filter(regexp_extract_all(coalesce(asset_description, ''), '\\((?:[A-Za-z]+\\s*:\\s*)?([A-Za-z][A-Za-z0-9.\\-]{0,6})\\)', 1), lambda x: lower(x) NOT IN ('partial', 'full'))[1]) AS symbol FROM ocr_lines_2022""")
 def inline_ticker(spark, d):
     return table(spark, d, "ocr_lines_2022").select("line_no", S.inline_ticker(F.col("asset_description")).alias("symbol"))
 
 
 @query("asset_name", f"""
-SELECT txn_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(asset_description, '')), '{S.SYMBOL_AT_END}', ''), '[^A-Z0-9 &]', ' ', 'g'),
+SELECT txn_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(asset_description, '')), '(?:-|\\()\\s*([A-Z](?:[A-Z0-9]|[.]){{0,5}})[)]?\\s*$', ''), '[^A-Z0-9 &]', ' ', 'g'),
   '{S.CORPORATE}', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM disclosures""")
 def asset_name(spark, d):
     return table(spark, d, "disclosures").select("txn_id", S.asset_name(F.col("asset_description")).alias("name"))
 
 
-@query("without_owner", "SELECT line_no, trim(regexp_replace(asset_description, '^\\(\\s*(S|SP|DC|J|JT)\\s*\\)\\s*', '', 'i'), ' ') AS description FROM ocr_lines_2022")
+@query("without_owner", "SELECT line_no, trim(regexp_replace(regexp_replace(asset_description, '^\\(\\s*(S|SP|DC|J|JT)\\s*\\)\\s*', '', 'i'), '^(SP|DC|JT)\\s+', ''), ' ') AS description FROM ocr_lines_2022")
 def without_owner(spark, d):
     return table(spark, d, "ocr_lines_2022").select("line_no", S.without_owner(F.col("asset_description")).alias("description"))
 
@@ -278,9 +277,66 @@ def version_hash(spark, d):
     return table(spark, d, "ocr_lines_2022").select("line_no", S.versioned(F.coalesce("asset_description", F.lit("")), F.lit("m1")).alias("version"))
 
 
-@query("example_row", "SELECT line_no, coalesce(regexp_matches(lower(asset_description), '\\bexample\\b|mega\\s*corp|ibm\\s*corp|microsoft\\s*\\(\\s*stock\\s*\\)'), false) AS example FROM ocr_lines_2022")
+@query("example_row", "SELECT line_no, contains(s, 'seeattached') OR contains(s, 'illegible') AS example FROM (SELECT line_no, regexp_replace(lower(coalesce(asset_description, '')), '\\s+', '', 'g') AS s FROM ocr_lines_2022)")
 def example_row(spark, d):
-    return table(spark, d, "ocr_lines_2022").select("line_no", S.example_row(F.col("asset_description")).alias("example"))
+    return table(spark, d, "ocr_lines_2022").select("line_no", S.example_row(F.col("asset_description"), ("See attached", "illegible")).alias("example"))
+
+
+@query("trimmed_description", "SELECT doc_id, trim(regexp_replace(text, '\\s{2,}(?:company:|description:|rate/coupon|matures:|comment).*$', '', 'is'), ' ') AS text FROM (SELECT doc_id, replace(text, '. ', '  Comment ') AS text FROM documents)")
+def trimmed_description(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("  Comment ")).alias("text"))
+    return x.select("doc_id", S.trimmed_description(F.col("text")).alias("text"))
+
+
+@query("with_option", "SELECT line_no, CASE WHEN regexp_matches(asset_description, '\\b(call|put)\\b', 'i') THEN 'Option' ELSE 'Stock' END AS kind FROM ocr_lines_2022")
+def with_option(spark, d):
+    return table(spark, d, "ocr_lines_2022").select("line_no", S.with_option(F.lit("Stock"), F.col("asset_description")).alias("kind"))
+
+
+@query("corpus_label", "SELECT txn_id, CASE chamber || ' ' || CASE WHEN provenance LIKE '%ocr%' THEN 'scan' ELSE 'form' END WHEN 'House form' THEN 'House electronic' WHEN 'House scan' THEN 'House scanned' WHEN 'Senate form' THEN 'Senate electronic' ELSE '(other)' END AS corpus FROM disclosures")
+def corpus_label(spark, d):
+    names = {"House form": "House electronic", "House scan": "House scanned", "Senate form": "Senate electronic"}
+    kind = F.concat("chamber", F.lit(" "), F.when(F.col("provenance").contains("ocr"), "scan").otherwise("form"))
+    return table(spark, d, "disclosures").select("txn_id", S.label_of(kind, names).alias("corpus"))
+
+
+@query("unaccented_key", "SELECT ptr_no, trim(regexp_replace(lower(declarant_name), '[^a-z]+', ' ', 'g')) AS name FROM ptr_index")
+def unaccented_key(spark, d):
+    return table(spark, d, "ptr_index").select("ptr_no", S.unaccented_key(F.col("declarant_name")).alias("name"))
+
+
+@query("senate_op", """
+SELECT vendor_no, CASE WHEN s LIKE 'p%' THEN 'Purchase' WHEN s LIKE '%exchange%' THEN 'Exchange' WHEN s LIKE '%partial%' THEN 'Sale (Partial)' WHEN s LIKE '%full%' THEN 'Sale (Full)' WHEN s LIKE 's%' THEN 'Sale' ELSE trim(transaction) END AS operation
+FROM (SELECT vendor_no, transaction, lower(trim(transaction)) AS s FROM quiver_missing_trades)""")
+def senate_op(spark, d):
+    return table(spark, d, "quiver_missing_trades").select("vendor_no", S.senate_op(F.col("transaction")).alias("operation"))
+
+
+@query("last_term_key", "SELECT version_no, coalesce(-year(valid_to), -9999) AS key FROM filer_history")
+def last_term_key(spark, d):
+    return table(spark, d, "filer_history").select("version_no", S.last_term_key(F.col("valid_to")).cast("long").alias("key"))
+
+
+@query("utc_day", "SELECT ptr_no, CAST(received_at AS DATE) AS day, CAST(received_at - INTERVAL 5 HOUR AS DATE) AS shifted FROM ptr_index")
+def utc_day(spark, d):
+    at = F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss")
+    return table(spark, d, "ptr_index").select("ptr_no", S.utc_day(at).alias("day"), S.utc_day(F.concat(at, F.lit("+05:00"))).alias("shifted"))
+
+
+@query("bound_without_sign", "SELECT txn_id, greatest(coalesce(CAST(nullif(replace(regexp_extract(replace(amount_range, '$', ''), '(\\d[\\d,]*)', 1), ',', ''), '') AS DOUBLE), 1001.0), 1001.0) AS low FROM disclosures")
+def bound_without_sign(spark, d):
+    return table(spark, d, "disclosures").select("txn_id", S.bound_without_sign(F.replace("amount_range", F.lit("$"), F.lit(""))).alias("low"))
+
+
+@query("percent", "SELECT chamber, round_even(100.0::DOUBLE * count(ticker) / nullif(count(*), 0), 1) AS with_ticker, CAST(NULL AS DOUBLE) AS of_none FROM disclosures GROUP BY chamber")
+def percent(spark, d):
+    x = table(spark, d, "disclosures").groupBy("chamber").agg(F.count("ticker").alias("t"), F.count(F.lit(1)).alias("n"))
+    return x.select("chamber", S.percent(F.col("t"), F.col("n")).alias("with_ticker"), S.percent(F.col("t"), F.lit(0)).alias("of_none"))
+
+
+@query("misread_names", "SELECT line_no, regexp_replace(regexp_replace(n, '\\bDEVLCES\\b', 'DEVICES', 'g'), '\\bH0LDINGS\\b', 'HOLDINGS', 'g') AS name FROM (SELECT line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(asset_description, '')), '(?:-|\\()\\s*([A-Z](?:[A-Z0-9]|[.]){0,5})[)]?\\s*$', ''), '[^A-Z0-9 &]', ' ', 'g'), '\\b(INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LIMITED|PLC|LLC|LP|NV|SA|HOLDINGS|GROUP|CLASS [A-C]|COMMON STOCK|COMMON|STOCK)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS n FROM ocr_lines_2022)")
+def misread_names(spark, d):
+    return table(spark, d, "ocr_lines_2022").select("line_no", S.asset_name(F.col("asset_description"), {"DEVLCES": "DEVICES", "H0LDINGS": "HOLDINGS"}).alias("name"))
 
 
 def queries() -> dict:

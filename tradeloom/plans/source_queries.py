@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradeloom.functions import scalars as S
@@ -9,7 +11,7 @@ from tradeloom.operators import enrich as E
 from tradeloom.plans.registry import Registry
 from tradeloom.sources import parsers as P
 from tradeloom.sources import tables as T
-from tradeloom.session import table
+from tradeloom.session import shared_folder, table
 from tradeloom.streaming import disclosures as W
 
 query = Registry()
@@ -115,12 +117,12 @@ def vendor_counts_by_name(spark, d):
     return o.join(v, "name", "left").select("name", "ours", F.coalesce("vendor", F.lit(0)).alias("vendor"))
 
 
-_NAME = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(asset_description, '')), '{S.SYMBOL_AT_END}', ''), '[^A-Z0-9 &]', ' ', 'g'), '{S.CORPORATE}', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NAME = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce(asset_description, '')), '(?:-|\\()\\s*([A-Z](?:[A-Z0-9]|[.]){{0,5}})[)]?\\s*$', ''), '[^A-Z0-9 &]', ' ', 'g'), '{S.CORPORATE}', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query("ticker_cascade", f"""
 WITH d AS (SELECT name, ticker FROM (SELECT {_NAME} AS name, ticker, count(*) AS n FROM disclosures WHERE trim(coalesce(ticker, '')) NOT IN ('', 'nan') GROUP BY ALL) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, ticker) = 1),
-l AS (SELECT line_no, nullif({_NAME}, '') AS name, trim(regexp_extract(coalesce(asset_description, ''), '{S.SYMBOL_AT_END}', 1), '.') AS e0, nullif(regexp_extract(trim(coalesce(asset_description, '')), '^([A-Z]{{1,5}})(?:[.-][A-Z])?(?:\\s+(?:PUT|CALL))?$', 1), '') AS w FROM ocr_lines_2022),
+l AS (SELECT line_no, nullif({_NAME}, '') AS name, trim(regexp_extract(coalesce(asset_description, ''), '(?:-|\\()\\s*([A-Z](?:[A-Z0-9]|[.]){{0,5}})[)]?\\s*$', 1), '.') AS e0, nullif(regexp_extract(trim(coalesce(asset_description, '')), '^([A-Z]{{1,5}})(?:[.][A-Z])?(?:\\s+(?:PUT|CALL))?$', 1), '') AS w FROM ocr_lines_2022),
 x AS (SELECT *, CASE WHEN length(e0) BETWEEN 1 AND 5 THEN e0 END AS e FROM l)
 SELECT line_no, coalesce(e, w, d.ticker) AS ticker, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN w IS NOT NULL THEN 'asset_name' WHEN d.ticker IS NOT NULL THEN 'dictionary' ELSE 'none' END AS source FROM x LEFT JOIN d USING (name)""")
 def ticker_cascade(spark, d):
@@ -175,10 +177,8 @@ def event_sessions(spark, d):
 def stream_windows(spark, d):
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _folder(path) else f"{d}/events.parquet*")
-    name = "stream_windows_result"
-    # one row per day and type is kept by the sink
-    W.windowed_activity(stream, "1 day", "40 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/stream_windows-{uuid.uuid4().hex}"
+    return W.run_totals(W.windowed_activity(stream, "1 day", "40 days"), f"{folder}/out", f"{folder}/state")
 
 
 def _folder(path: str) -> bool:

@@ -100,12 +100,11 @@ def hybrid_history(spark, d):
 
 
 @query("next_trading_day", """
-SELECT o_orderkey, (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_quantity > 49 AND CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE)) AS trading_day FROM orders
-WHERE CAST(o_orderdate AS DATE) BETWEEN (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_quantity > 49) AND (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_quantity > 49)""")
+WITH c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_quantity > 49 AND CAST(l_shipdate AS DATE) >= DATE '1995-06-17') SELECT o_orderkey, day AS trading_day FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders) ASOF LEFT JOIN c ON c.day >= d""")
 def next_trading_day(spark, d):
-    days = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
-    ends = days.agg(F.min("date").alias("a"), F.max("date").alias("z"))
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d")).crossJoin(F.broadcast(ends)).where("d BETWEEN a AND z")  # one row
+    """The calendar starts years after the first orders, all of which get its first day, and ends before the last ones."""
+    days = table(spark, d, "lineitem").where("l_quantity > 49 AND CAST(l_shipdate AS DATE) >= DATE '1995-06-17'").select(F.col("l_shipdate").cast("date").alias("date")).distinct()
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
     return T.with_trading_day(o, "d", days).select("o_orderkey", "trading_day")
 
 

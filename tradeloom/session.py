@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -43,13 +45,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage of df with a reliable checkpoint, which survives lost executors.
 
     The folder is the one that the cluster names in spark.checkpoint.dir. Only where neither that setting nor a
-    checkpoint folder exists (as in tests) is one made.
+    checkpoint folder exists, and the session is a local one (as in tests), is one made; it is removed at the end.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which every executor sees."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tradeloom-"))
-    return df.checkpoint(eager=True)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tradeloom-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def partitions(spark: SparkSession) -> int:
