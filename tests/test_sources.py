@@ -30,6 +30,59 @@ def test_report():
     assert P.parse_report(None) == [] and P.parse_report("x" * 100_000) == []
 
 
+AWKWARD = """Clerk of the House
+Filing ID #20001
+ID Owner Asset Transaction Type Date
+JT Gamma Pipelines LP - Limited Partner Interests
+(NYSE: GPL) S 01/02/2019 01/09/2019 $1,001 -
+[sT] $15,000
+Sold @ $31.50, 100 shares
+Delta Class-B Holdings P 02/03/2019 02/04/2019 $15,001 -
+(DEL-B) [sT] $50,000
+Description: bought before the split
+sp Epsilon Water - Common P 03/04/2019 03/05/2019 $50,001 -
+- EPW [ST] $100,000
+Zeta Growth and Income
+Portfolio Class R
+Institutional E 04/05/2019 04/06/2019 $1,000,001 - $5,000,000
+Shares [MF]
+Eta (partial) Interest S (full) 05/06/2019 05/07/2019 $50,000,001+
+"""
+
+
+def test_awkward_reports():
+    rows = P.parse_report(AWKWARD)
+    got = [(r["owner"], r["asset"], r["ticker"], r["kind"], r["operation"], r["amount"]) for r in rows]
+    assert got[0] == ("JT", "Gamma Pipelines LP - Limited Partner Interests", "GPL", "ST", "Sale", "$1,001 - $15,000")
+    assert got[1] == (None, "Delta Class-B Holdings", "DEL-B", "ST", "Purchase", "$15,001 - $50,000")
+    assert got[2] == ("SP", "Epsilon Water - Common", "EPW", "ST", "Purchase", "$50,001 - $100,000")
+    assert got[3][1:] == ("Zeta Growth and Income Portfolio Class R Institutional", None, None, "Exchange", "$1,000,001 - $5,000,000")
+    assert got[4][1:] == ("Eta Interest", None, None, "Sale (Full)", "$50,000,001+")
+    assert len(got) == 5
+
+
+def test_operations_in_plain_words():
+    assert [P.plain_operation(x) for x in ("purchase", "Sale (Partial)", "sale - full", "SALE", "Exchange", "Other", None)] == ["Purchase", "Sale (Partial)", "Sale (Full)", "Sale", "Exchange", "Other", None]
+
+
+def test_pairs_like_a_plain_search():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(8)
+    for _ in range(60):
+        o = [(rng.randrange(60) * rng.choice([1, 7]), i, rng.choice([None, 5.0, 9.0])) for i in range(rng.randrange(1, 25))]
+        v = [(rng.randrange(60) * rng.choice([1, 7]), 100 + i, rng.choice([None, 6.0, 50.0])) for i in range(rng.randrange(1, 25))]
+        frame = lambda rows: pd.DataFrame([("m", "T", "P", 0, *r) for r in rows], columns=["member", "tk", "s", "run", "d", "id", "f"])
+        free, wanted = sorted(v, key=lambda x: x[:2]), []
+        for d, i, _ in sorted(o, key=lambda x: x[:2]):
+            near = min(((abs(d - x[0]), k) for k, x in enumerate(free)), default=(999, 0))
+            if near[0] <= R.PAIR_DAYS:
+                wanted.append((i, free.pop(near[1])[1], near[0]))
+        assert R._greedy(frame(o), frame(v))[["txn_id", "vendor_no", "gap"]].values.tolist() == [list(w) for w in wanted]
+
+
 def test_tables_in_any_order():
     html = "<p>x</p><table><tr><th>Asset Name</th><th>Transaction Date</th><th>Type</th></tr><tr><td>A &amp; B</td><td>01/02/2024</td><td>Purchase</td></tr><tr><td>--</td></tr></table>"
     (row,) = P.parse_tables(html)
@@ -48,7 +101,13 @@ def test_files(spark, tmp_path):
     assert [r["DocID"] for r in T.read_index(spark, f"{tmp_path}/i.xml", "2024-01-01", "2024-12-31").collect()] == ["7"]
     assert {r["FilingType"]: r["count"] for r in T.index_types(spark, f"{tmp_path}/i.xml").collect()} == {"P": 1, "X": 1}
     assert "| id | text |" in T.markdown(df.select("id", "text")) and T.add_once(df, "id", D.F.lit(1)) is df
-    assert T.first_column(df, ["nope", "text"]) is not None
+    assert df.select(T.first_column(df, ["nope", "text"]).alias("x")).collect() == df.select(D.F.col("text").alias("x")).collect()
+    assert T.markdown(df, 1).endswith("(the first 1 rows)")
+    (tmp_path / "p.yaml").write_text('- {"id": {"bioguide": "A1"}, "name": {"first": "Ann"}, "terms": [{"type": "sen", "start": "2020-01-03", "end": "2026-01-03"}, {"type": "rep", "start": "2018-01-03"}]}\n- {"id": {"bioguide": "B2"}, "name": {}}\n')
+    assert sorted((r["bioguide_id"], r["chamber"], r["start"], r["end"]) for r in T.read_people(spark, f"{tmp_path}/p.yaml").collect()) == [("A1", "rep", "2018-01-03", None), ("A1", "sen", "2020-01-03", "2026-01-03")]
+    (tmp_path / "prices" / "ticker=AB").mkdir(parents=True)
+    (tmp_path / "prices" / "ticker=AB" / "x.csv").write_text("date,close\n2024-01-02,10.5\n2024-01-03,\n")
+    assert [(r["ticker"], r["close"]) for r in T.read_prices(spark, f"{tmp_path}/prices", ["AB", "NONE"]).collect()] == [("AB", 10.5)]
 
 
 def test_dedup_is_idempotent(spark):

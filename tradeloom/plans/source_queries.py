@@ -16,53 +16,55 @@ from tradeloom.streaming import disclosures as W
 
 query = Registry()
 
-_ROWS = "transaction_date IS NOT NULL AND disclosure_date IS NOT NULL AND regexp_matches(amount_range, '^\\$[\\d,]+ - \\$[\\d,]+$') AND NOT regexp_matches(asset_description, '[()\\[\\]:$\\n]| (P|S|E|p|s|e) |^\\s*$|^(SP|DC|JT) ') AND year(transaction_date) BETWEEN 1000 AND 9999 AND year(disclosure_date) BETWEEN 1000 AND 9999"
-
-
-def _clean(spark, d):
-    x = table(spark, d, "disclosures").where(F.col("transaction_date").isNotNull() & F.col("disclosure_date").isNotNull() & F.col("amount_range").rlike(r"^\$[\d,]+ - \$[\d,]+$"))
-    x = x.where(~F.col("asset_description").rlike(r"[()\[\]:$\n]| (P|S|E|p|s|e) |^\s*$|^(SP|DC|JT) "))
-    return x.where(F.year("transaction_date").between(1000, 9999) & F.year("disclosure_date").between(1000, 9999))
+_OP = "CASE WHEN lower(operation_type) LIKE 'p%' THEN 'Purchase' WHEN operation_type ILIKE '%exchange%' THEN 'Exchange' WHEN operation_type ILIKE '%partial%' THEN 'Sale (Partial)' WHEN operation_type ILIKE '%full%' THEN 'Sale (Full)' WHEN lower(operation_type) LIKE 's%' THEN 'Sale' ELSE operation_type END"
+_SQUEEZED = "nullif(nullif(nullif(trim(regexp_replace({}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' '), ''), '--'), 'None')"
 
 
 @query("parsed_reports", f"""
-SELECT txn_id AS doc_id, 0 AS pos, CASE WHEN lower(owner) = 'spouse' THEN 'SP' END AS owner, trim(regexp_replace(asset_description, '\\s+', ' ', 'g')) AS asset, ticker, 'ST' AS kind, CASE operation_type WHEN 'Purchase' THEN 'Purchase' WHEN 'Exchange' THEN 'Exchange' WHEN 'Sale (Partial)' THEN 'Sale (Partial)'
-  WHEN 'Sale (Full)' THEN 'Sale (Full)' ELSE 'Sale' END AS operation, strftime(transaction_date, '%m/%d/%Y') AS transaction_date, strftime(disclosure_date, '%m/%d/%Y') AS notification_date, amount_range AS amount FROM disclosures WHERE {_ROWS}""")
+SELECT txn_id AS doc_id, 0 AS pos, CASE operation_type WHEN 'Purchase' THEN 'Purchase' WHEN 'Exchange' THEN 'Exchange' WHEN 'Sale (Partial)' THEN 'Sale (Partial)' WHEN 'Sale (Full)' THEN 'Sale (Full)' ELSE 'Sale' END AS operation,
+  strftime(transaction_date, '%m/%d/%Y') AS transaction_date, strftime(disclosure_date, '%m/%d/%Y') AS notification_date, amount_range AS amount,
+  upper(coalesce(list_filter(regexp_extract_all(regexp_replace(coalesce(asset_description, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), '\\(([A-Za-z][A-Za-z0-9.\\-]{{0,6}})\\)', 1), lambda x: lower(x) NOT IN ('partial', 'full'))[1], ticker)) AS ticker
+FROM disclosures WHERE transaction_date IS NOT NULL AND disclosure_date IS NOT NULL AND amount_range IS NOT NULL""")
 def parsed_reports(spark, d):
-    x = _clean(spark, d)
-    day = lambda c: F.date_format(c, "MM/dd/yyyy")
+    """Reports of all rows, with the upper bound of the amount and the kind on a later line; those without a date or an amount hold no transaction."""
+    x = table(spark, d, "disclosures")
+    day = lambda c: F.coalesce(F.date_format(c, "MM/dd/yyyy"), F.lit("--"))
     op = F.when(F.col("operation_type") == "Purchase", "P").when(F.col("operation_type") == "Exchange", "E").when(F.col("operation_type") == "Sale (Partial)", "S (partial)").when(F.col("operation_type") == "Sale (Full)", "S (full)").otherwise("S")
     owner = F.when(F.lower("owner") == "spouse", "SP ").otherwise("")
-    bounds = F.split("amount_range", " - ")
+    bounds = F.split(F.coalesce("amount_range", F.lit("--")), " - ")
+    symbol = F.coalesce(F.concat(F.lit(" ("), F.col("ticker"), F.lit(")")), F.lit(""))
     text = F.concat(
-        F.lit("ID OWNER ASSET TRANSACTION\n\n"), owner, F.col("asset_description"), F.coalesce(F.concat(F.lit(" ("), F.col("ticker"), F.lit(")")), F.lit("")), F.lit("\n[ST] "), op, F.lit(" "), day("transaction_date"), F.lit(" "),
-        day("disclosure_date"), F.lit(" "), bounds[0], F.lit(" -\n"), bounds[1], F.lit("\n\nFILING STATUS: New\n"),
+        F.lit("ID OWNER ASSET TRANSACTION\n\n"), owner, F.coalesce(F.regexp_replace("asset_description", r"\s+", " "), F.lit("")), symbol, F.lit("\n"), op, F.lit(" "), day("transaction_date"), F.lit(" "),
+        day("disclosure_date"), F.lit(" "), bounds[0], F.when(F.size(bounds) > 1, F.concat(F.lit(" -\n[ST] "), F.get(bounds, F.lit(1)))).otherwise("\n[ST]"), F.lit("\n\nFiling Status: New\n"),
     )
-    return P.parsed(x.select("txn_id", text.alias("text")), "txn_id", "text", P.parse_report)
+    return P.parsed(x.select("txn_id", text.alias("text")), "txn_id", "text", P.parse_report).select("doc_id", "pos", "operation", "transaction_date", "notification_date", "amount", "ticker")
 
 
 @query("parsed_tables", f"""
-SELECT txn_id AS doc_id, 0 AS pos, nullif(trim(regexp_replace(owner, '\\s+', ' ', 'g')), '') AS owner, trim(regexp_replace(asset_description, '\\s+', ' ', 'g')) AS asset, ticker, asset_type AS kind, operation_type AS operation,
-  strftime(transaction_date, '%m/%d/%Y') AS transaction_date, NULL::VARCHAR AS notification_date, amount_range AS amount FROM disclosures WHERE {_ROWS} AND NOT regexp_matches(asset_description, '[<&>]')""")
+SELECT txn_id AS doc_id, 0 AS pos, {_SQUEEZED.format("owner")} AS owner, {_SQUEEZED.format("asset_description")} AS asset, {_SQUEEZED.format("ticker")} AS ticker, {_SQUEEZED.format("asset_type")} AS kind, {_OP} AS operation,
+  strftime(transaction_date, '%m/%d/%Y') AS transaction_date, NULL::VARCHAR AS notification_date, {_SQUEEZED.format("amount_range")} AS amount FROM disclosures""")
 def parsed_tables(spark, d):
-    x = _clean(spark, d).where(~F.col("asset_description").rlike("[<&>]"))
-    cell = lambda c: F.concat(F.lit("<td> "), F.coalesce(c, F.lit("--")), F.lit("</td>"))
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cell = lambda c: F.concat(F.lit("<td> "), F.coalesce(esc(c), F.lit("--")), F.lit("</td>"))
+    other = F.lit("<table><tr><th>Filed</th></tr><tr><td>x</td></tr></table>")
     head = F.lit("<table><thead><tr><th>#</th><th>Transaction Date</th><th>Owner</th><th>Ticker</th><th>Asset Name</th><th>Asset Type</th><th>Type</th><th>Amount</th></tr></thead><tr>")
-    html = F.concat(head, cell(F.lit("1")), *[cell(c) for c in (F.date_format("transaction_date", "MM/dd/yyyy"), F.col("owner"), F.col("ticker"), F.col("asset_description"), F.col("asset_type"), F.col("operation_type"), F.col("amount_range"))], F.lit("</tr></table>"))
-    return P.parsed(x.select("txn_id", html.alias("html")), "txn_id", "html", P.parse_tables)
+    names = ("owner", "ticker", "asset_description", "asset_type", "operation_type", "amount_range")
+    html = F.concat(other, head, cell(F.lit("1")), cell(F.date_format("transaction_date", "MM/dd/yyyy")), *[cell(F.col(c)) for c in names], F.lit("</tr></table>"), other)
+    return P.parsed(table(spark, d, "disclosures").select("txn_id", html.alias("html")), "txn_id", "html", P.parse_tables)
 
 
-@query("cached_lines", "SELECT doc_id, batch, count(*) AS lines, count(asset_description) AS described FROM ocr_lines_2022 WHERE doc_id IS NOT NULL AND batch IS NOT NULL AND line_no % 7 <> 3 GROUP BY ALL")
+@query("cached_lines", "SELECT coalesce(doc_id, '') AS doc_id, coalesce(batch, 0) AS batch, count(*) AS lines, count(asset_description) AS described FROM ocr_lines_2022 GROUP BY ALL")
 def cached_lines(spark, d):
+    """Every line, written as answers of the cache: finished batches, and beside each a failed one of the same lines, which gives no rows."""
     t = F.struct("asset_description", "transaction_type", "owner", F.col("transaction_date").cast("string").alias("transaction_date"), F.col("notification_date").cast("string").alias("notification_date"), F.lit(None).cast("string").alias("ticker"), "amount_code")
-    x = table(spark, d, "ocr_lines_2022").where("doc_id IS NOT NULL AND batch IS NOT NULL")
-    # a document's failed batch is stored as well, but gives no rows
-    ok = F.when(F.col("line_no") % 7 == 3, "failed").otherwise("ok")
-    b = x.groupBy("doc_id", "batch", ok.alias("status")).agg(F.collect_list(t).alias("transactions"))  # the lines of one batch of pages
+    x = table(spark, d, "ocr_lines_2022").withColumns({"doc_id": F.coalesce("doc_id", F.lit("")), "batch": F.coalesce("batch", F.lit(0))})
+    b = x.groupBy("doc_id", "batch").agg(F.collect_list(t).alias("transactions"))  # the lines of one batch of pages
+    b = b.withColumn("status", F.explode(F.array(F.lit("ok"), F.lit("failed"))))
     b = b.groupBy("doc_id").agg(F.collect_list(F.struct("batch", F.lit(1).alias("pages"), "status", "transactions")).alias("batches"))
     text = F.to_json(F.struct("doc_id", F.lit("m").alias("model"), F.lit("p").alias("prompt_sha"), F.lit("ok").alias("status"), "batches"))
-    cache = b.select(F.from_json(text, T.CACHE).alias("c")).select("c.*")
-    return T.cache_transactions(cache, "m", "p").groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("lines"), F.count("asset_description").alias("described"))
+    folder = _folder_for(spark, "cache")
+    b.select(text.alias("value")).write.text(folder)
+    return T.read_cache(spark, folder, "m", "p").groupBy("doc_id", "batch").agg(F.count(F.lit(1)).alias("lines"), F.count("asset_description").alias("described"))
 
 
 @query("envelopes", "SELECT vendor_no, ticker, trade_size_usd AS size FROM quiver_missing_trades")
@@ -74,13 +76,116 @@ def envelopes(spark, d):
     return v.select(F.explode(T.envelope_rows(text, "struct<vendor_no:bigint,ticker:string,size:double>")).alias("r")).select("r.*")
 
 
-@query("index_entries", "SELECT ptr_no, doc_id, filing_type FROM ptr_index WHERE filing_type = 'P'")
+@query("index_entries", "SELECT doc_id, last_name, disclosure_date AS filed FROM ptr_index WHERE filing_type = 'P' AND disclosure_date BETWEEN DATE '2016-01-01' AND DATE '2021-12-31'")
 def index_entries(spark, d):
-    esc = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    """The index written as XML files and read again: filings of type P within a window of days."""
     x = table(spark, d, "ptr_index")
-    xml = F.concat(F.lit("<Member><Last>"), esc(F.col("last_name")), F.lit("</Last><FilingType>"), esc(F.col("filing_type")), F.lit("</FilingType><DocID>"), esc(F.col("doc_id")), F.lit("</DocID></Member>"))
-    x = x.select("ptr_no", F.from_xml(xml, "Last string, FilingType string, DocID string", {"inferSchema": "false"}).alias("m"))
-    return x.where("m.FilingType = 'P'").select("ptr_no", F.col("m.DocID").alias("doc_id"), F.col("m.FilingType").alias("filing_type"))
+    x = x.select(F.col("last_name").alias("Last"), F.col("first_name").alias("First"), F.col("filing_type").alias("FilingType"), F.col("state_district").alias("StateDst"), F.year("disclosure_date").cast("string").alias("Year"), F.date_format("disclosure_date", "M/d/yyyy").alias("FilingDate"), F.col("doc_id").alias("DocID"))
+    folder = _folder_for(spark, "index")
+    x.write.format("xml").option("rowTag", "Member").option("rootTag", "Members").save(folder)
+    return T.read_index(spark, folder, "2016-01-01", "2021-12-31").select(F.col("DocID").alias("doc_id"), F.col("Last").alias("last_name"), "filed")
+
+
+@query("csv_years", "SELECT txn_id::VARCHAR AS txn_id, nullif(asset_description, '') AS asset_description, nullif(amount_range, '') AS amount_range FROM disclosures")
+def csv_years(spark, d):
+    """Written as one folder of CSV per chamber, read as one table of texts."""
+    x = table(spark, d, "disclosures").select(F.col("txn_id").cast("string").alias("txn_id"), "asset_description", "amount_range", "chamber")
+    folder = _folder_for(spark, "csv")
+    for c in ("House", "Senate"):
+        T.write_csv(x.where(F.col("chamber").eqNullSafe(c)).drop("chamber"), f"{folder}/{c}")
+    T.write_csv(x.where(~F.coalesce(F.col("chamber").isin("House", "Senate"), F.lit(False))).drop("chamber"), f"{folder}/none")
+    return T.read_csv(spark, [f"{folder}/{c}" for c in ("House", "Senate", "none")], ["txn_id", "asset_description", "amount_range"]).drop("file")
+
+
+@query("partitioned_table", "SELECT chamber, coalesce(year(disclosure_date), 0) AS file_year, count(*) AS n, count(asset_description) AS described FROM disclosures GROUP BY ALL")
+def partitioned_table(spark, d):
+    x = table(spark, d, "disclosures").withColumn("file_year", F.coalesce(F.year("disclosure_date"), F.lit(0)))
+    folder = _folder_for(spark, "table")
+    T.write_table(x, folder, ["chamber", "file_year"])
+    T.write_table(x.where("file_year = 2021"), folder, ["chamber", "file_year"])  # the same slices once more
+    return spark.read.parquet(folder).groupBy("chamber", "file_year").agg(F.count(F.lit(1)).alias("n"), F.count("asset_description").alias("described"))
+
+
+_PRICES = "SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, round(avg(l_extendedprice / l_quantity) + 1e-7, 4) AS close FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"
+
+
+@query("price_files", _PRICES, "close")
+def price_files(spark, d):
+    """Prices written as a folder of CSV per ticker and read as one long table."""
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    x = l.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_brand").alias("ticker"), F.col("l_shipdate").cast("date").alias("date"))
+    folder = _folder_for(spark, "prices")
+    x.agg(F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-7, 4).alias("close")).repartition("ticker").write.partitionBy("ticker").csv(folder, header=True)
+    return T.read_prices(spark, folder)
+
+
+@query("factor_file", "SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount) AS mkt, avg(l_tax) AS smb, 0.0001 AS rf FROM lineitem GROUP BY 1", "mkt smb rf")
+def factor_file(spark, d):
+    """Daily factors in per cent, written as CSV and read as fractions."""
+    x = table(spark, d, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg((100 * F.avg("l_discount")).alias("Mkt-RF"), (100 * F.avg("l_tax")).alias("SMB"), F.lit(0.01).alias("RF"))
+    folder = _folder_for(spark, "factors")
+    x.write.csv(folder, header=True)
+    return T.read_factors(spark, folder, {"Mkt-RF": "mkt", "SMB": "smb", "RF": "rf"})
+
+
+@query("pending_documents", "SELECT DISTINCT doc_id FROM ptr_index WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM disclosures WHERE doc_id IS NOT NULL AND provenance NOT LIKE '%ocr%')")
+def pending_documents(spark, d):
+    """The backlog less what the cache holds finished under this version; scans count as failed here."""
+    cache = table(spark, d, "disclosures").select("doc_id", F.lit("v1").alias("version"), F.when(F.col("provenance").contains("ocr"), "failed").otherwise("ok").alias("status"))
+    return W.not_cached(table(spark, d, "ptr_index").select("doc_id").where("doc_id IS NOT NULL").distinct(), cache, "v1")
+
+
+@query("merged_disclosures", "SELECT natural_key_hash, min(txn_id) AS txn_id FROM disclosures WHERE natural_key_hash IS NOT NULL GROUP BY 1")
+def merged_disclosures(spark, d):
+    """Trades delivered or filed again in later batches of a stream: one row per key, the first by number, over all batches."""
+    path = f"{d}/disclosures.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 4).parquet(path if _folder(path) else f"{path}*")
+    stream = stream.where("natural_key_hash IS NOT NULL").select("natural_key_hash", "txn_id")
+    folder = _folder_for(spark, "merged")
+    W.merge_batches(stream, f"{folder}/table", f"{folder}/state", ["natural_key_hash"], ["txn_id"])
+    return W.read_merged(spark, f"{folder}/table", stream.schema)
+
+
+@query("vendor_count_files", f"""
+WITH v AS (SELECT trim(regexp_replace(lower(strip_accents(name)), '[^a-z]+', ' ', 'g')) AS n, count(*) AS vendor FROM quiver_missing_trades WHERE name IS NOT NULL GROUP BY 1) SELECT n AS name, vendor FROM v""")
+def vendor_count_files(spark, d):
+    """Another vendor's trades as JSON, a line each, counted by plain name."""
+    folder = _folder_for(spark, "counts")
+    table(spark, d, "quiver_missing_trades").select("name", "ticker").write.json(folder)
+    return T.read_counts(spark, folder, "name").withColumnRenamed("n", "vendor")
+
+
+@query("people", "SELECT bioguide_id, first_name, last_name, chamber, state, CAST(term_start AS VARCHAR) AS start FROM members WHERE bioguide_id IS NOT NULL")
+def people(spark, d):
+    """The members as a file of YAML (JSON is YAML), read back term by term."""
+    x = table(spark, d, "members").where("bioguide_id IS NOT NULL")
+    term = F.struct(F.col("chamber").alias("type"), "party", "state", "district", F.col("term_start").cast("string").alias("start"), F.lit("2030-01-03").alias("end"))
+    one = F.struct(F.struct(F.col("bioguide_id").alias("bioguide")).alias("id"), F.struct(F.col("first_name").alias("first"), F.col("last_name").alias("last")).alias("name"), F.array(term).alias("terms"))
+    folder = _folder_for(spark, "people")
+    lines = x.select(F.concat(F.lit("- "), F.to_json(one)).alias("value"))
+    lines.coalesce(1).write.text(folder)  # a small fixed table
+    return T.read_people(spark, folder).select("bioguide_id", "first_name", "last_name", "chamber", "state", "start")
+
+
+@query("first_column", "SELECT vendor_no, ticker AS symbol, NULL::VARCHAR AS none FROM quiver_missing_trades")
+def first_column(spark, d):
+    x = table(spark, d, "quiver_missing_trades")
+    return x.select("vendor_no", T.first_column(x, ["symbol", "ticker", "tickertype"]).alias("symbol"), T.first_column(x, ["nope"]).alias("none"))
+
+
+@query("with_tenure", "SELECT txn_id, CASE WHEN year(transaction_date) >= year(term_start) THEN year(transaction_date) - year(term_start) END AS tenure FROM disclosures LEFT JOIN members USING (bioguide_id)")
+def with_tenure(spark, d):
+    """One more column, added once however often it is asked for."""
+    m = table(spark, d, "members").select("bioguide_id", "term_start")
+    x = table(spark, d, "disclosures").select("txn_id", "bioguide_id", "transaction_date").join(m, "bioguide_id", "left")
+    for _ in range(2):
+        x = T.add_once(x, "tenure", S.tenure(F.col("term_start"), F.col("transaction_date")))
+    return x.select("txn_id", "tenure")
+
+
+@query("years_asked", "SELECT txn_id FROM disclosures WHERE year(disclosure_date) IN (2018, 2019, 2020, 2022)")
+def years_asked(spark, d):
+    return table(spark, d, "disclosures").where(F.year("disclosure_date").isin(*S.year_range("2018-2020, 2022"))).select("txn_id")
 
 
 _PLAIN = "trim(regexp_replace(lower(strip_accents({})), '[^a-z]+', ' ', 'g'))"
@@ -177,10 +282,15 @@ def event_sessions(spark, d):
 def stream_windows(spark, d):
     path = f"{d}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(path if _folder(path) else f"{d}/events.parquet*")
-    folder = f"{shared_folder(spark)}/stream_windows-{uuid.uuid4().hex}"
+    folder = _folder_for(spark, "stream_windows")
     return W.run_totals(W.windowed_activity(stream, "1 day", "40 days"), f"{folder}/out", f"{folder}/state")
 
 
+def _folder_for(spark, name: str) -> str:
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _folder(path: str) -> bool:
     import os
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradeloom.functions import scalars as S
+
 CACHE = (
     "doc_id string, member string, model string, prompt_sha string, created_utc string, status string, batches array<struct<batch:int, pages:int, status:string, "
     "transactions:array<struct<asset_description:string, transaction_type:string, owner:string, transaction_date:string, notification_date:string, ticker:string, amount_code:string>>>>"
@@ -31,8 +34,29 @@ def index_types(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "Member").schema(INDEX).load(path).groupBy("FilingType").count()
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return cache_transactions(spark.read.schema(CACHE).json(path, multiLine=True))
+def read_cache(spark: SparkSession, path: str, model: str | None = None, prompt_sha: str | None = None, lines: bool = True) -> DataFrame:
+    """The transactions of a folder of cached answers, one to a line, or one to a file with lines=False."""
+    return cache_transactions(spark.read.schema(CACHE).json(path, multiLine=not lines), model, prompt_sha)
+
+
+def read_prices(spark: SparkSession, path: str, tickers: Sequence[str] | None = None) -> DataFrame:
+    """(ticker, date, close) of a folder per ticker (ticker=X) of CSV; a ticker without a folder has no rows, folders not asked for are not read."""
+    x = spark.read.schema("date date, close double, ticker string").csv(path, header=True)
+    x = x if tickers is None else x.where(F.col("ticker").isin(*tickers))
+    return x.where("date IS NOT NULL AND close IS NOT NULL").select("ticker", "date", "close")
+
+
+def read_factors(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
+    """(date, factors) of a CSV of daily factors in per cent, as fractions; names: column of the file to name of the factor, in any order."""
+    raw = spark.read.csv(path, header=True)
+    day = F.coalesce(F.try_to_date(F.trim("date"), "yyyy-MM-dd"), F.try_to_date(F.trim("date"), "yyyyMMdd"))
+    return raw.select(day.alias("date"), *[(F.trim(F.col(f"`{c}`")).try_cast("double") / 100).alias(n) for c, n in names.items()]).where("date IS NOT NULL")
+
+
+def read_counts(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(name, n): rows per plain name in JSON of another vendor's trades; rows without a name don't count."""
+    x = spark.read.schema(f"{name} string").json(path).where(F.col(name).isNotNull())
+    return x.groupBy(S.plain_name(F.col(name)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cache_transactions(cache: DataFrame, model: str | None = None, prompt_sha: str | None = None) -> DataFrame:
@@ -59,13 +83,21 @@ def first_column(df: DataFrame, candidates: Sequence[str]) -> Column:
 
 
 def read_people(spark: SparkSession, path: str) -> DataFrame:
-    """(bioguide_id, first_name, last_name, chamber, party, state, district, start, end) of every term in a YAML of legislators, a small file."""
-    import yaml
+    """(bioguide_id, first_name, last_name, chamber, party, state, district, start, end) of every term in a YAML of legislators, a small file or a folder of such.
+
+    Without a YAML library only files that are JSON, or JSON after each dash, can be read.
+    """
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # people are few
+    try:
+        import yaml
 
+        people = yaml.safe_load(text) or []
+    except ImportError:
+        people = [json.loads(x[2:]) for x in text.splitlines() if x.startswith("- ")] if text.lstrip().startswith("-") else json.loads(text or "[]")
     rows = []
-    for p in yaml.safe_load(open(path, encoding="utf-8")) or []:
+    for p in people:
         for t in p.get("terms", []):
-            rows.append((p["id"]["bioguide"], p["name"].get("first"), p["name"].get("last"), t.get("type"), t.get("party"), t.get("state"), str(t.get("district") or ""), str(t["start"]), str(t["end"])))
+            rows.append((p["id"]["bioguide"], p["name"].get("first"), p["name"].get("last"), t.get("type"), t.get("party"), t.get("state"), str(t.get("district") or ""), *[None if t.get(x) is None else str(t[x]) for x in ("start", "end")]))
     return spark.createDataFrame(rows, "bioguide_id string, first_name string, last_name string, chamber string, party string, state string, district string, start string, end string")
 
 
@@ -85,7 +117,8 @@ def add_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown text; limit bounds what is brought to the driver."""
-    rows = df.limit(limit).collect()
-    line = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
+    """A small table as Markdown text; limit bounds what is brought to the driver, and a last line says so where there is more."""
+    rows = df.limit(limit + 1).collect()
+    line = lambda xs: "| " + " | ".join("" if x is None else str(x).replace("|", "\\|").replace("\n", " ") for x in xs) + " |"
+    more = [f"(the first {limit} rows)"] if len(rows) > limit else []
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows[:limit]], *more])
