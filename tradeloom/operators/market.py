@@ -142,6 +142,33 @@ def abnormal_returns(buys: DataFrame, prices: DataFrame, bench: DataFrame, horiz
     return x.select("trade_id", "horizon", ar.alias("ar"))
 
 
+def abnormal_returns_against(buys: DataFrame, prices: DataFrame, benches: DataFrame, horizons: list[int]) -> DataFrame:
+    """(trade_id, horizon, benchmark, ar): as abnormal_returns, against each benchmark of benches (benchmark, date, close), few by nature."""
+    own = own_calendar(prices)
+    x = with_next(buys.select("trade_id", "ticker", "filed"), "filed", own, ["ticker"], "idx", "i").where("i IS NOT NULL").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    px = own.select("ticker", F.col("idx").alias("i"), F.col("date").alias("d0"), F.col("close").alias("p0"))
+    py = own.select("ticker", F.col("idx").alias("j"), F.col("date").alias("d1"), F.col("close").alias("p1"))
+    x = x.withColumn("j", F.col("i") + F.col("horizon")).join(px, ["ticker", "i"]).join(py, ["ticker", "j"])
+    days = benches.where("close IS NOT NULL")
+    # the benchmarks' returns are formed per pair of days, which are far fewer than trades
+    spans = x.select("d0", "d1").distinct().join(days.select("benchmark").distinct(), F.lit(True))
+    spans = with_next(with_next(spans, "d0", days, ["benchmark"], "close", "b0"), "d1", days, ["benchmark"], "close", "b1")
+    ar = F.when(F.col("p0") > 0, F.col("p1") / F.col("p0") - F.try_divide("b1", "b0"))
+    return x.join(spans, ["d0", "d1"]).select("trade_id", "horizon", "benchmark", ar.alias("ar"))
+
+
+def style_returns(bought: DataFrame, returns: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(idx, date, style): daily returns of a style whose weights, the shares of s per ticker in bought (year, ticker, s), hold for the days of their year.
+
+    returns: (ticker, idx, date, r), benchmark: (idx, date, b), which stands in for years without weights.
+    """
+    total = bought.groupBy("year").agg(F.sum("s").alias("all__"))
+    share = bought.join(total, "year").select("year", "ticker", (F.col("s") / F.col("all__")).alias("share"))
+    x = returns.withColumn("year", F.year("date")).join(share, ["year", "ticker"]).groupBy("idx").agg(F.sum(F.col("share") * F.col("r")).alias("style"))
+    days = benchmark.withColumn("year", F.year("date")).join(total, "year", "left").join(x, "idx", "left")
+    return days.select("idx", "date", F.when(F.col("all__").isNull(), F.col("b")).otherwise(F.coalesce("style", F.lit(0.0))).alias("style"))
+
+
 def trade_returns(held: DataFrame, prices: DataFrame, bench: DataFrame, lag_days: int = 1) -> DataFrame:
     """(trade_id, ret, abn, win, hold_days) from entry + lag_days to exit on the ticker's own days, the exit no later than its last.
 

@@ -168,6 +168,13 @@ def yields(df: DataFrame, by: str, column: str, kinds: Sequence[str]) -> DataFra
     return df.groupBy(by).agg(N().alias("n"), any_.alias("filled"), *[F.when(any_, F.count_if(c == k) / N()).alias(k) for k in kinds])
 
 
+def covered_share(df: DataFrame, by: str, value: str, covered: Column) -> DataFrame:
+    """(by, volume, covered): the sum of a value and the share of it in rows that are covered; null where the sum is none."""
+    v = F.col(value)
+    x = df.groupBy(by).agg(F.sum(v).alias("volume"), F.coalesce(F.sum(F.when(covered, v)), F.lit(0)).alias("c__"))
+    return x.select(by, "volume", F.try_divide("c__", "volume").alias("covered"))
+
+
 FUNNEL = ("a_dates", "b_sense", "c_asset", "d_size", "e_member")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tradeloom.operators import inference as I
 from tradeloom.operators import market as M
+from tradeloom.operators.ranks import quantiles, ranked
 from tradeloom.plans.registry import Registry
-from tradeloom.session import table
+from tradeloom.session import checkpointed, table
 
 _BASE = """
 WITH t AS (SELECT o_custkey AS member, p_brand AS ticker, CASE l_returnflag WHEN 'A' THEN 'buy' WHEN 'R' THEN 'sell' ELSE 'exch' END AS op, CAST(l_shipdate AS DATE) AS filed, CAST(round(sum(l_extendedprice)) AS DOUBLE) AS size_usd
@@ -64,12 +65,12 @@ def _portfolio(spark, d) -> DataFrame:
     held = M.positions(trades(spark, d))
     kinds = F.array(*[F.struct(F.lit(k).alias("portfolio"), M.raw_weight(k).alias("raw")) for k in ("equal", "size", "sqrt_size")])
     held = held.select("ticker", "entry", "exit", F.explode(kinds).alias("k")).select("k.*", "ticker", "entry", "exit")
-    return M.portfolio_days(held, prices(spark, d))
+    return M.portfolio_days(held, checkpointed(prices(spark, d)))  # days x tickers, used several times: built once
 
 
 def _returns(spark, d) -> DataFrame:
-    held = M.positions(trades(spark, d))
-    return held.join(M.trade_returns(held, prices(spark, d), bench(spark, d)), "trade_id")
+    held = checkpointed(M.positions(trades(spark, d)))
+    return held.join(M.trade_returns(held, checkpointed(prices(spark, d)), checkpointed(bench(spark, d))), "trade_id")
 
 
 @query("daily_returns", "SELECT ticker, date, r FROM r", "r")
@@ -284,14 +285,10 @@ def long_short(spark, d):
 
 @query("gain_concentration", "SELECT sum(abn) FILTER (abn > 0 AND k <= n // 10) / sum(abn) FILTER (abn > 0) AS top_share, avg(abn) FILTER (k > n // 10) AS mean_without FROM (SELECT abn, row_number() OVER (ORDER BY abn DESC, trade_id) AS k, count(*) OVER () AS n FROM tr WHERE abn IS NOT NULL)", "top_share mean_without")
 def gain_concentration(spark, d):
-    x = _returns(spark, d).where("abn IS NOT NULL").select("abn", "trade_id")
-    cut = x.agg(F.percentile("abn", F.lit(0.9)).alias("q"), F.count(F.lit(1)).alias("n"))
-    # ranks are needed among the highest tenth only; the quantile keeps the ordered part small and the rest unordered
-    x = x.crossJoin(F.broadcast(cut)).withColumn("high", F.col("abn") >= F.col("q"))  # one row
-    top = x.where("high").withColumn("k", F.row_number().over(Window.orderBy(F.desc("abn"), "trade_id"))).where(F.col("k") <= F.floor(F.col("n") / 10))
-    sums = top.agg(F.coalesce(F.sum(F.when(F.col("abn") > 0, F.col("abn"))), F.lit(0.0)).alias("gain"), F.coalesce(F.sum("abn"), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("c"))
-    every = x.agg(F.sum(F.when(F.col("abn") > 0, F.col("abn"))).alias("all_gain"), F.sum("abn").alias("all_s"), F.count(F.lit(1)).alias("all_c"))
-    return every.crossJoin(F.broadcast(sums)).select((F.col("gain") / F.col("all_gain")).alias("top_share"), ((F.col("all_s") - F.col("s")) / (F.col("all_c") - F.col("c"))).alias("mean_without"))
+    x = ranked(_returns(spark, d).where("abn IS NOT NULL").select("abn", "trade_id"), [F.desc("abn"), F.col("trade_id")], "k")
+    x = x.crossJoin(F.broadcast(x.agg(F.count(F.lit(1)).alias("n")))).withColumn("top", F.col("k") <= F.floor(F.col("n") / 10))  # one row
+    gain = F.when(F.col("abn") > 0, F.col("abn"))
+    return x.agg((F.sum(F.when(F.col("top"), gain)) / F.sum(gain)).alias("top_share"), F.avg(F.when(~F.col("top"), F.col("abn"))).alias("mean_without"))
 
 
 @query("cut_profile", """SELECT cut, count(*) AS n, count(DISTINCT member) AS members, avg(abn) AS mean, avg((abn > 0)::INT) AS hit, avg(abn) / (stddev_samp(abn) / sqrt(count(*))) AS t FROM (SELECT *, unnest(list_filter([CASE WHEN size_usd >= 50000 THEN 'ge50k' END, CASE WHEN size_usd < 50000 THEN 'lt50k' END,
@@ -307,8 +304,8 @@ def cut_profile(spark, d):
 
 @query("jackpots", "SELECT ticker, count(*) AS n, avg(abn) AS mean FROM tr WHERE abn >= (SELECT quantile_cont(abn, 0.9) FROM tr) GROUP BY ticker", "mean")
 def jackpots(spark, d):
-    x = _returns(spark, d).where("abn IS NOT NULL")
-    return x.crossJoin(F.broadcast(x.agg(F.percentile("abn", F.lit(0.9)).alias("q")))).where("abn >= q").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.avg("abn").alias("mean"))  # one row
+    x = checkpointed(_returns(spark, d).where("abn IS NOT NULL"))
+    return x.crossJoin(F.broadcast(quantiles(x, "abn", {"q": 0.9}))).where("abn >= q").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.avg("abn").alias("mean"))  # one row
 
 
 @query("damped_weights", "SELECT trade_id, 1 / sqrt(count(*) OVER (PARTITION BY member)) AS w FROM pos", "w")
@@ -345,12 +342,6 @@ def composite_rank(spark, d):
     return _composite(spark, d).select("decision_year", "member", "composite")
 
 
-@query("selected_members")
-def selected_members(spark, d):
-    key = table(spark, d, "customer").select(F.col("c_custkey").alias("member"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("key"))
-    return I.select_members(_composite(spark, d).join(key, "member"), "composite", 6)
-
-
 @query("walk_forward_gate", f"SELECT trade_id FROM pos q JOIN (SELECT decision_year, member FROM ({_COMPOSITE}) QUALIFY row_number() OVER (PARTITION BY decision_year ORDER BY round(composite, 9) DESC, member) <= 6) s ON s.member = q.member AND s.decision_year = year(q.entry) - 1")
 def walk_forward_gate(spark, d):
     w = Window.partitionBy("decision_year").orderBy(F.desc("c"), "member")
@@ -359,16 +350,6 @@ def walk_forward_gate(spark, d):
     return q.join(s, (F.col("member") == F.col("m__")) & (F.year("entry") - 1 == F.col("decision_year")), "left_semi").select("trade_id")
 
 
-@query("walk_forward_grid")
-def walk_forward_grid(spark, d):
-    """For 4, 6, 8 and 10 members a year: the purchases of those chosen on the year before, simulated, all in one job."""
-    w = Window.partitionBy("decision_year").orderBy(F.desc("c"), "member")
-    s = _composite(spark, d).withColumn("c", F.round("composite", 9)).withColumn("k", F.row_number().over(w)).where("k <= 10").select("decision_year", F.col("member").alias("m__"), "k")
-    held = M.positions(trades(spark, d)).join(s, (F.col("member") == F.col("m__")) & (F.year("entry") - 1 == F.col("decision_year")))
-    held = held.select("ticker", "entry", "exit", F.col("size_usd").alias("raw"), F.explode(F.filter(F.array(*[F.lit(k) for k in (4, 6, 8, 10)]), lambda n: n >= F.col("k"))).alias("n"))
-    return M.annual_stats(M.portfolio_days(held.withColumn("portfolio", F.concat(F.lit("top"), F.col("n"))), prices(spark, d)))
-
-
 @query("style_attribution", """SELECT portfolio, avg(net) * 252 AS total, avg(b) * 252 AS market, avg(net - st) * 252 AS selection, avg(st - b) * 252 AS allocation, avg(net - st + st - b - (net - b)) AS residual FROM (SELECT pf.portfolio, pf.idx, any_value(pf.net) AS net, any_value(bm.b) AS b, sum(u.share * r.r) AS st
   FROM pf JOIN bm USING (idx) JOIN (SELECT ticker, sum(size_usd) / sum(sum(size_usd)) OVER () AS share FROM t WHERE op = 'buy' GROUP BY ticker) u ON true JOIN r ON r.ticker = u.ticker AND r.idx = pf.idx GROUP BY pf.portfolio, pf.idx) GROUP BY portfolio""", "total market selection allocation residual")
 def style_attribution(spark, d):
@@ -402,21 +383,6 @@ def placebo_sales(spark, d):
     return trades(spark, d).where("op IN ('buy', 'sell') AND size_usd >= 50000").groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.median("size_usd").alias("median"))
 
 
-@query("outcome_model")
-def outcome_model(spark, d):
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    x = _returns(spark, d).where("abn IS NOT NULL").select((F.col("abn") > 0).cast("double").alias("label"), F.log("size_usd").alias("size"), F.month("entry").cast("double").alias("month"), F.datediff("exit", "entry").cast("double").alias("held"), "entry")
-    x = VectorAssembler(inputCols=["size", "month", "held"], outputCol="features").transform(x)
-    cut = x.agg(F.percentile_approx(F.datediff("entry", F.lit("1970-01-01").cast("date")), 0.7).alias("c")).first()[0]
-    day = F.datediff("entry", F.lit("1970-01-01").cast("date"))
-    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(x.where(day <= cut))
-    auc = BinaryClassificationEvaluator().evaluate(model.transform(x.where(day > cut)))
-    return spark.createDataFrame([(float(auc),)], "auc double")
-
-
 def queries() -> dict:
     return dict(query.found)
 
