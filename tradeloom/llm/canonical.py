@@ -2,9 +2,10 @@
 
 Each distinct token of the values is joined to the vocabulary of the list: exactly, by edit distance (a join on shared deletions), as an
 abbreviation (a token whose letters occur in a word in order, a join on three of them, or that begins a word), glued to its neighbour or torn in two. The
-repaired tokens then meet the entries through the entries' first words and symbols, or else by two of their rarest words, and every candidate is
-ranked by how much of the entry's weight the value covers and how much of the value's weight the entry covers. Values whose best entry stays
-below a threshold are reported as not in the list.
+repaired tokens then meet the entries, which are ranked by how much of the entry's weight the value covers and how much of the value's weight the
+entry covers. The best is that of all entries: those whose first word or symbol is met are all ranked; of the others those that may cover the value
+whole, found by the value's rarest words; and where what is left out might still be better than the best so far, all the rest. Values whose best
+entry stays below a threshold are reported as not in the list.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ HEAVIEST = 4.6
 GENERAL = 5
 #: Likeness from which a token likely stands for a term.
 STRONG = 0.7
+#: An entry none of whose anchors is met, and which covers less than this share of the value's weight, is another one and counts by `OTHER`, as does one of another class, rate or year.
+WHOLE = 0.9
+OTHER = 0.3
+#: Bounds are widened by so much, more than sums of floats err.
+SLACK = 1e-7
 #: What tells entries apart whole: share class, rate, year.
 SLOTS = ("class", "rate", "year")
 
@@ -148,10 +154,10 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return exact.unionByName(near).unionByName(cut).unionByName(begun).withColumn("part", F.lit(0)).unionByName(glued).groupBy("token", "term").agg(F.max("sim").alias("sim"), F.min("part").alias("part"))
 
 
-def rank_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_id", name: str = "canonical_name", symbols: tuple[str, ...] = ("ticker", "former_ticker")) -> DataFrame:
-    """(value, entry, score) for each distinct value and each entry that shares a repaired anchor with it or, if no entry does, two rare words.
+def read_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_id", name: str = "canonical_name", symbols: tuple[str, ...] = ("ticker", "former_ticker")) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(values, terms, built, entries): the values with their number v, the terms of the entries, what each value may stand for (a row per v), and the entries' weights.
 
-    values: one column, value, of distinct texts that are not null. The anchors of an entry are its first word and its symbols.
+    values: one column, value, of distinct texts that are not null.
     """
     terms = checkpointed(reference_terms(reference, entry_id, name, list(symbols)))
     vocabulary = terms.groupBy("term").agg(F.max("df").alias("df"), F.max(F.col("kind").isin("name", "legal")).alias("word"), F.max("weight").alias("weight"))
@@ -188,14 +194,18 @@ def rank_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_
     )
     built = kept.withColumn("flat", F.flatten(F.transform("cs", lambda u: F.transform(u["cands"], lambda c: F.struct(u["pos"].alias("pos"), c["term"].alias("term"), c["sim"].alias("sim"))))))
     built = checkpointed(built.withColumn("year", F.when(F.size("rate") > 0, F.col("year")).otherwise(F.array().cast("array<string>"))).drop("cs"))
-    pairs = checkpointed(_candidates(built.select("v", F.array_distinct(F.transform("flat", lambda c: c["term"])).alias("met")), terms))
     slots = [F.collect_set(F.when(slot_kind(F.col("term")) == k, F.col("term"))).alias(f"e_{k}") for k in SLOTS]
     counted = F.col("kind") != "symbol"
     entries = terms.groupBy("entry").agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit(" "), "term"), "weight"))).alias("of"), *slots,
         F.sum(F.when(counted & (F.col("kind") != "slot"), F.col("weight"))).alias("named"), F.coalesce(F.sum(F.when(F.col("kind") == "slot", F.col("weight"))), F.lit(0.0)).alias("slotted"),
     )
-    x = pairs.join(entries, "entry").join(built, "v")
+    return values, terms, built, entries
+
+
+def score_pairs(pairs: DataFrame, built: DataFrame, entries: DataFrame) -> DataFrame:
+    """(v, entry, score) for those of the pairs (v, entry, anchored: whether the value meets an anchor of the entry) that share a term."""
+    x = pairs.join(entries.hint("merge"), "entry").join(built.hint("merge"), "v")
     # a rate, number or class that the value does not state at all is not held against it
     asked = F.coalesce("named", F.lit(0.0)) + F.when(F.col("states"), F.col("slotted")).otherwise(0.0)
     clash = F.lit(False)
@@ -216,21 +226,78 @@ def rank_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_
     covers = F.greatest(F.coalesce(F.try_divide("covers", "asked"), F.lit(0.0)), F.when(F.col("coded"), 0.95).otherwise(0.0))
     covered = F.coalesce(F.try_divide("covered", "whole"), F.lit(0.0))
     # an entry none of whose anchors is met is another one, unless the value says next to nothing beyond it
-    score = F.sqrt(covers * covered) * F.when(F.col("clash") | (~F.col("anchored") & (covered < 0.9)), 0.3).otherwise(1.0)
-    return x.select("v", "entry", score.alias("score")).join(values.select("v", "value"), "v").select("value", "entry", "score")
-
-
-def _candidates(met: DataFrame, terms: DataFrame) -> DataFrame:
-    """(v, entry, anchored) for values (v, met: terms they may hold): entries with an anchor among them; for values without one, entries that share two of their four rarest words."""
-    reach = terms.where("anchor").select("term", "entry")
-    pairs = met.select("v", F.explode("met").alias("term")).join(reach, "term").select("v", "entry").distinct()
-    rest = met.join(pairs.select("v").distinct(), "v", "left_anti").select("v", F.explode("met").alias("term"))
-    named = terms.where("kind = 'name'").select("entry", "term", "df").distinct()
-    known = rest.join(named.select("term", "df").distinct(), "term").groupBy("v").agg(F.slice(F.array_sort(F.collect_set(F.struct("df", "term"))), 1, 4).alias("rare"))
-    both = lambda xs: F.flatten(F.transform(xs, lambda a: F.transform(F.filter(xs, lambda b: b > a), lambda b: F.concat_ws(" ", a["term"], b["term"]))))
-    listed = named.groupBy("entry").agg(F.array_sort(F.collect_set(F.struct("df", "term"))).alias("all"))
-    second = known.select("v", F.explode(both(F.col("rare"))).alias("k")).join(listed.select("entry", F.explode(both(F.col("all"))).alias("k")), "k").select("v", "entry").distinct()
-    return pairs.withColumn("anchored", F.lit(True)).unionByName(second.withColumn("anchored", F.lit(False)))
+    score = F.sqrt(covers * covered) * F.when(F.col("clash") | (~F.col("anchored") & (covered < WHOLE)), OTHER).otherwise(1.0)
+    return x.select("v", "entry", score.alias("score"))
+
+
+def rank_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_id", name: str = "canonical_name", symbols: tuple[str, ...] = ("ticker", "former_ticker")) -> DataFrame:
+    """(value, entry, score) for each distinct value and every entry that may be its best, the best of all entries and ties with it of smaller number always among them.
+
+    values: one column, value, of distinct texts that are not null. The anchors of an entry are its first word and its symbols.
+    """
+    values, terms, built, entries = read_values(values, reference, entry_id, name, symbols)
+    met = built.select("v", F.explode(F.array_distinct(F.transform("flat", lambda c: c["term"]))).alias("term"))
+    anchored = checkpointed(met.join(terms.where("anchor").select("term", "entry").hint("merge"), "term").select("v", "entry").distinct())
+    units = checkpointed(_units(built, terms))
+    pairs = anchored.withColumn("anchored", F.lit(True)).unionByName(_covering(units, built, terms).join(anchored.hint("merge"), ["v", "entry"], "left_anti").withColumn("anchored", F.lit(False)))
+    scored = checkpointed(score_pairs(pairs, built, entries))
+    # what is left out scores at most OTHER times the root of what the value's terms cover of it
+    best = scored.groupBy("v").agg(F.max("score").alias("best"))
+    limit = F.lit(OTHER) * F.sqrt(F.col("reachable") / F.col("whole")) + SLACK
+    open_ = units.select("v", "whole", "reachable").distinct().join(best.hint("merge"), "v", "left").where(F.coalesce("best", F.lit(0.0)) < limit)
+    return scored.unionByName(_best_of_rest(open_.select("v"), units, built, terms, entries)).join(values.select("v", "value").hint("merge"), "v").select("value", "entry", "score")
+
+
+def _units(built: DataFrame, terms: DataFrame) -> DataFrame:
+    """(v, pos, w, whole, gain, reachable, before) for each unit of each value that may stand for a term: its weight, what an entry can cover of it, the sum of that over the value, and over its units that fewer entries hold."""
+    held = terms.groupBy("term").agg(F.count(F.lit(1)).alias("held"))
+    flat = built.select("v", F.explode("flat").alias("c")).select("v", "c.*").join(held.hint("merge"), "term")
+    top = flat.repartition("v").groupBy("v", "pos").agg(F.max("sim").alias("top"), F.sum("held").alias("held"))
+    of = built.select("v", "whole", F.explode("ws").alias("u")).select("v", "whole", "u.*").repartition("v")
+    u = top.join(of.hint("merge"), ["v", "pos"]).withColumn("gain", F.col("w") * F.col("top"))
+    each = Window.partitionBy("v")
+    sofar = each.orderBy("held", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    return u.select("v", "pos", "w", "whole", "gain", F.sum("gain").over(each).alias("reachable"), F.coalesce(F.sum("gain").over(sofar), F.lit(0.0)).alias("before"))
+
+
+def _covering(units: DataFrame, built: DataFrame, terms: DataFrame) -> DataFrame:
+    """(v, entry) for all entries that may cover `WHOLE` of a value's weight.
+
+    Such an entry meets at least one of any units that together weigh more than it may leave uncovered. Those that fewest entries hold are looked up.
+    """
+    spare = F.col("reachable") - (WHOLE - SLACK) * F.col("whole")
+    asked = units.where((spare >= 0) & (F.col("before") <= spare)).select("v", "pos")
+    flat = built.select("v", F.explode("flat").alias("c")).select("v", "c.pos", "c.term")
+    return flat.join(asked.hint("merge"), ["v", "pos"]).select("v", "term").distinct().join(terms.select("term", "entry").hint("merge"), "term").select("v", "entry").distinct()
+
+
+def _best_of_rest(open_: DataFrame, units: DataFrame, built: DataFrame, terms: DataFrame, entries: DataFrame) -> DataFrame:
+    """(v, entry, score) for each v of open_: the best of all entries, as scored where the value doesn't meet their anchors and they don't cover it whole.
+
+    Entries that are alike but for their anchors are one class here, and so are values with the same known units: what a value's other words weigh
+    doesn't change which entry is best.
+    """
+    flat = built.join(open_.hint("merge"), "v", "left_semi").select("v", "states", F.explode("flat").alias("c")).select("v", "states", "c.*")
+    known = flat.join(units.select("v", "pos", "w", "whole").hint("merge"), ["v", "pos"]).groupBy("v", "pos").agg(
+        F.first("states").alias("states"), F.first("w").alias("w"), F.first("whole").alias("whole"), F.array_sort(F.collect_set(F.struct("term", "sim"))).alias("cands"))
+    known = known.groupBy("v").agg(F.first("states").alias("states"), F.first("whole").alias("whole"), F.array_sort(F.collect_list(F.struct("w", "cands"))).alias("units"))
+    known = checkpointed(known.withColumn("key", F.sha2(F.to_json(F.struct("states", "units")), 256)))
+    tails = terms.where("NOT anchor").groupBy("entry").agg(F.array_sort(F.collect_set(F.struct("term", "weight"))).alias("tail"))
+    near = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 12).alias(c)
+    classes = tails.join(entries.select("entry", near("named"), near("slotted")).hint("merge"), "entry").groupBy("tail", "named", "slotted").agg(F.min("entry").alias("entry"))
+    held = classes.select("entry", "named", "slotted", F.explode("tail").alias("t")).select("entry", "named", "slotted", "t.*")
+    asked = known.groupBy("key").agg(F.first("states").alias("states"), F.first("units").alias("units")).select("key", "states", F.posexplode("units").alias("pos", "u"))
+    asked = asked.select("key", "states", "pos", "u.w", F.explode("u.cands").alias("c")).select("key", "states", "pos", "w", "c.*")
+    x = asked.join(held.hint("merge"), "term").repartition("key", "entry")
+    of_term, of_unit = Window.partitionBy("key", "entry", "term").orderBy(F.desc("sim"), "pos"), Window.partitionBy("key", "entry", "pos").orderBy(F.desc("sim"), "term")
+    x = x.withColumn("by_term", F.row_number().over(of_term) == 1).withColumn("by_unit", F.row_number().over(of_unit) == 1)
+    x = x.groupBy("key", "entry").agg(
+        F.sum(F.when(F.col("by_term"), F.col("weight") * F.col("sim"))).alias("covers"), F.sum(F.when(F.col("by_unit"), F.col("w") * F.col("sim"))).alias("covered"),
+        F.first(F.col("named") + F.when(F.col("states"), F.col("slotted")).otherwise(0.0)).alias("asked"),
+    )
+    both = F.coalesce(F.try_divide("covers", "asked"), F.lit(0.0)) * F.col("covered")
+    best = x.groupBy("key").agg(F.max(F.struct(F.round(both, 9).alias("near"), (-F.col("entry")).alias("back"), both.alias("both"))).alias("b"))
+    return known.select("v", "whole", "key").join(best.hint("merge"), "key").select("v", (-F.col("b.back")).alias("entry"), (F.lit(OTHER) * F.sqrt(F.col("b.both") / F.col("whole"))).alias("score"))
 
 
 def map_values(values: DataFrame, value_id: str, value: str, reference: DataFrame, threshold: float = 0.64, entry_id: str = "asset_id", name: str = "canonical_name",
