@@ -94,12 +94,17 @@ def reference_terms(reference: DataFrame, entry_id: str, name: str, symbols: lis
         named = named.unionByName(coded.select("entry", "term", F.lit(True).alias("symbol"), F.lit(False).alias("lead")))
     sizes = named.groupBy("term", "symbol").agg(F.count(F.lit(1)).alias("df"))
     n = reference.agg(F.count(F.lit(1)).alias("n"))
-    t = named.join(sizes, ["term", "symbol"]).crossJoin(F.broadcast(n))  # one row
+    t = named.join(spread(sizes), ["term", "symbol"]).crossJoin(F.broadcast(n))  # one row
     kind = F.when(F.col("symbol"), "symbol").when(is_slot(F.col("term")), "slot").when(F.col("term").isin(*LEGAL), "legal").otherwise("name")
     t = t.withColumn("kind", kind).withColumn("weight", F.least(F.log1p(F.col("n") / F.col("df")), F.lit(HEAVIEST)) * F.when(F.col("kind") == "legal", 0.15).when(F.col("kind") == "slot", 0.8).otherwise(1.0))
     return t.select("entry", "term", "kind", "df", "weight", (F.col("lead") | F.col("symbol")).alias("anchor"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: what rows explode to is far more than the estimates say, and the smallest broadcast by a text takes 17 MB of the driver."""
+    return df.hint("merge")
+
+
 def _longest(vocabulary: DataFrame) -> int:
     return vocabulary.where("NOT fixed").agg(F.max(F.length("term"))).first()[0] or 0
 
@@ -112,9 +117,9 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     share, are usual; others count by the share of letters that they keep.
     """
     longest = _longest(vocabulary)
-    exact = tokens.join(vocabulary, F.col("token") == F.col("term")).select("token", "term", F.lit(1.0).alias("sim"))
+    exact = tokens.join(spread(vocabulary), F.col("token") == F.col("term")).select("token", "term", F.lit(1.0).alias("sim"))
     word = vocabulary.where("NOT fixed").select("term", "df")
-    open_ = tokens.join(vocabulary.where("NOT fixed").select(F.col("term").alias("token")), "token", "left_anti").where(~is_slot(F.col("token")))
+    open_ = tokens.join(spread(vocabulary.where("NOT fixed").select(F.col("term").alias("token"))), "token", "left_anti").where(~is_slot(F.col("token")))
     # spread before the rows multiply, else they are few bytes and meet in one task
     open_ = checkpointed(open_.repartition(4 * partitions(tokens.sparkSession), "token"))
     n, m = F.length("token"), F.length("term")
@@ -122,7 +127,7 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     near = (
         open_.where(n.between(4, longest + 2))
         .select("token", F.explode(deletions(F.col("token"), _reach(F.col("token")) == 2)).alias("left"))
-        .join(lists, "left")
+        .join(spread(lists), "left")
         .select("token", "term")
         .withColumn("d", F.levenshtein("token", "term", 2))
         .withColumn("d", F.when((F.col("d") == 2) & (n == m) & (F.array_sort(F.split("token", "")) == F.array_sort(F.split("term", ""))), 1).otherwise(F.col("d")))  # two letters that changed places are one edit
@@ -138,19 +143,19 @@ def repairs(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     general = general.select("plural", "usual", "term", F.explode(F.array_distinct(runs)).alias("run"))
     short = open_.where(n.between(2, longest - 1)).select("token", F.concat(letter(F.col("token"), F.lit(1)), letter(F.col("token"), F.lit(2)), letter(F.col("token"), n)).alias("run"))
     cut = (
-        short.join(general, "run")
+        short.join(spread(general), "run")
         .where((m > n) & (F.col("usual") | (n >= 4)) & (F.levenshtein("token", "term") == m - n))
         .select("token", F.col("plural").alias("term"), F.when(~F.col("usual"), n / m).when(n >= 3, 0.9).otherwise(0.6).alias("sim"))
     )
     starts = word.where(m >= 5).select("term", F.explode(F.transform(F.sequence(F.lit(4), m - 1), lambda i: F.substring(F.col("term"), F.lit(1), i))).alias("token"))
-    begun = open_.join(starts, "token").select("token", "term", F.greatest(n / m, F.lit(0.6)).alias("sim"))
+    begun = open_.join(spread(starts), "token").select("token", "term", F.greatest(n / m, F.lit(0.6)).alias("sim"))
     long_ = word.where(m >= 5).select("term")
     end = lambda text, part: F.struct(text.alias("term"), F.lit(part).alias("part"))
     ends = F.concat(
         F.transform(F.sequence(F.lit(5), F.least(n - 3, F.lit(max(longest, 5)))), lambda i: end(F.substring(F.col("token"), F.lit(1), i), 1)),
         F.transform(F.sequence(F.greatest(n - max(longest, 5) + 1, F.lit(4)), n - 3), lambda i: end(F.substring(F.col("token"), i, n), 2)),
     )
-    glued = open_.where(n >= 8).select("token", F.explode(ends).alias("e")).select("token", "e.*").join(long_, "term").select("token", "term", F.lit(0.9).alias("sim"), "part")
+    glued = open_.where(n >= 8).select("token", F.explode(ends).alias("e")).select("token", "e.*").join(spread(long_), "term").select("token", "term", F.lit(0.9).alias("sim"), "part")
     return exact.unionByName(near).unionByName(cut).unionByName(begun).withColumn("part", F.lit(0)).unionByName(glued).groupBy("token", "term").agg(F.max("sim").alias("sim"), F.min("part").alias("part"))
 
 
@@ -172,27 +177,27 @@ def read_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_
         ),
     )
     units = values.where(F.size("ts") > 0).select("v", F.explode(unit).alias("u")).select("v", "u.pos", F.posexplode("u.forms").alias("form", "token"))
-    found = repairs(units.select("token").distinct(), vocabulary.drop("weight")).join(vocabulary.select("term", "weight"), "term")
+    found = repairs(units.select("token").distinct(), vocabulary.drop("weight")).join(spread(vocabulary.select("term", "weight", F.col("df").alias("held"))), "term")
     of = lambda part: F.max(F.when((F.col("part") == part) & (F.col("sim") >= STRONG), F.col("weight")))
-    found = found.groupBy("token").agg(F.greatest(of(0), F.when(of(1).isNotNull() | of(2).isNotNull(), F.coalesce(of(1), F.lit(0.0)) + F.coalesce(of(2), F.lit(0.0)))).alias("known"), F.collect_list(F.struct("term", "sim", "part")).alias("cands"))
+    found = found.groupBy("token").agg(F.greatest(of(0), F.when(of(1).isNotNull() | of(2).isNotNull(), F.coalesce(of(1), F.lit(0.0)) + F.coalesce(of(2), F.lit(0.0)))).alias("known"), F.collect_list(F.struct("term", "sim", "part", "held")).alias("cands"))
     # weight of a token: that of the best term it likely stands for, or else its own rarity among the values
     totals = values.agg(F.count(F.lit(1)).alias("n_values")).crossJoin(reference.agg(F.count(F.lit(1)).alias("n_entries")))
     own = values.select(F.explode(F.array_distinct("ts")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("among"))
-    tokens = checkpointed(found.join(own, "token", "full_outer").crossJoin(F.broadcast(totals)))  # one row
+    tokens = checkpointed(found.join(spread(own), "token", "full_outer").crossJoin(F.broadcast(totals)))  # one row
     free = F.least(F.log1p(F.col("n_values") / F.col("among")) * F.log1p("n_entries") / F.log1p("n_values"), F.lit(HEAVIEST))
     token = F.col("token")
     stated = F.when(token.isin(*LEGAL), F.least(free, F.lit(0.3))).when(is_slot(token) & ~token.rlike("[%:]"), F.least(free, F.lit(1.5))).otherwise(free)
-    none = F.array().cast("array<struct<term:string,sim:double,part:int>>")
+    none = F.array().cast("array<struct<term:string,sim:double,part:int,held:bigint>>")
     tokens = tokens.select("token", F.coalesce("known", stated).alias("w"), F.coalesce("cands", none).alias("cands"))
     # all that each unit of each value may stand for, a row per value
-    each = units.join(tokens, "token").select("v", "form", "pos", F.when(F.col("form") == 0, token).alias("own"), F.when(F.col("form") == 0, F.col("w")).alias("w"),
+    each = units.join(spread(tokens), "token").select("v", "form", "pos", F.when(F.col("form") == 0, token).alias("own"), F.when(F.col("form") == 0, F.col("w")).alias("w"),
                                             F.when(F.col("form") == 0, F.col("cands")).otherwise(F.filter("cands", lambda c: c["part"] == 0)).alias("cands"))  # an end of two joined tokens is one of them
     first = F.col("form") == 0
     kept = each.where(first | (F.size("cands") > 0)).groupBy("v").agg(
         F.sum("w").alias("whole"), F.collect_list(F.when(first, F.struct("pos", "w"))).alias("ws"), F.collect_list(F.when(F.size("cands") > 0, F.struct("pos", "cands"))).alias("cs"),
         *[F.collect_set(F.when(slot_kind(F.col("own")) == k, F.col("own"))).alias(k) for k in SLOTS], F.max(F.coalesce(is_slot(F.col("own")), F.lit(False))).alias("states"),
     )
-    built = kept.withColumn("flat", F.flatten(F.transform("cs", lambda u: F.transform(u["cands"], lambda c: F.struct(u["pos"].alias("pos"), c["term"].alias("term"), c["sim"].alias("sim"))))))
+    built = kept.withColumn("flat", F.flatten(F.transform("cs", lambda u: F.transform(u["cands"], lambda c: F.struct(u["pos"].alias("pos"), c["term"].alias("term"), c["sim"].alias("sim"), c["held"].alias("held"))))))
     built = checkpointed(built.withColumn("year", F.when(F.size("rate") > 0, F.col("year")).otherwise(F.array().cast("array<string>"))).drop("cs"))
     slots = [F.collect_set(F.when(slot_kind(F.col("term")) == k, F.col("term"))).alias(f"e_{k}") for k in SLOTS]
     counted = F.col("kind") != "symbol"
@@ -205,7 +210,7 @@ def read_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_
 
 def score_pairs(pairs: DataFrame, built: DataFrame, entries: DataFrame) -> DataFrame:
     """(v, entry, score) for those of the pairs (v, entry, anchored: whether the value meets an anchor of the entry) that share a term."""
-    x = pairs.join(entries.hint("merge"), "entry").join(built.hint("merge"), "v")
+    x = pairs.join(spread(entries), "entry").join(spread(built), "v")
     # a rate, number or class that the value does not state at all is not held against it
     asked = F.coalesce("named", F.lit(0.0)) + F.when(F.col("states"), F.col("slotted")).otherwise(0.0)
     clash = F.lit(False)
@@ -237,24 +242,23 @@ def rank_values(values: DataFrame, reference: DataFrame, entry_id: str = "asset_
     """
     values, terms, built, entries = read_values(values, reference, entry_id, name, symbols)
     met = built.select("v", F.explode(F.array_distinct(F.transform("flat", lambda c: c["term"]))).alias("term"))
-    anchored = checkpointed(met.join(terms.where("anchor").select("term", "entry").hint("merge"), "term").select("v", "entry").distinct())
-    units = checkpointed(_units(built, terms))
-    pairs = anchored.withColumn("anchored", F.lit(True)).unionByName(_covering(units, built, terms).join(anchored.hint("merge"), ["v", "entry"], "left_anti").withColumn("anchored", F.lit(False)))
+    anchored = checkpointed(met.join(spread(terms.where("anchor").select("term", "entry")), "term").select("v", "entry").distinct())
+    units = checkpointed(_units(built))
+    pairs = anchored.withColumn("anchored", F.lit(True)).unionByName(_covering(units, built, terms).join(spread(anchored), ["v", "entry"], "left_anti").withColumn("anchored", F.lit(False)))
     scored = checkpointed(score_pairs(pairs, built, entries))
     # what is left out scores at most OTHER times the root of what the value's terms cover of it
     best = scored.groupBy("v").agg(F.max("score").alias("best"))
     limit = F.lit(OTHER) * F.sqrt(F.col("reachable") / F.col("whole")) + SLACK
-    open_ = units.select("v", "whole", "reachable").distinct().join(best.hint("merge"), "v", "left").where(F.coalesce("best", F.lit(0.0)) < limit)
-    return scored.unionByName(_best_of_rest(open_.select("v"), units, built, terms, entries)).join(values.select("v", "value").hint("merge"), "v").select("value", "entry", "score")
+    open_ = units.select("v", "whole", "reachable").distinct().join(spread(best), "v", "left").where(F.coalesce("best", F.lit(0.0)) < limit)
+    return scored.unionByName(_best_of_rest(open_.select("v"), units, built, terms, entries)).join(spread(values.select("v", "value")), "v").select("value", "entry", "score")
 
 
-def _units(built: DataFrame, terms: DataFrame) -> DataFrame:
+def _units(built: DataFrame) -> DataFrame:
     """(v, pos, w, whole, gain, reachable, before) for each unit of each value that may stand for a term: its weight, what an entry can cover of it, the sum of that over the value, and over its units that fewer entries hold."""
-    held = terms.groupBy("term").agg(F.count(F.lit(1)).alias("held"))
-    flat = built.select("v", F.explode("flat").alias("c")).select("v", "c.*").join(held.hint("merge"), "term")
+    flat = built.select("v", F.explode("flat").alias("c")).select("v", "c.*")
     top = flat.repartition("v").groupBy("v", "pos").agg(F.max("sim").alias("top"), F.sum("held").alias("held"))
     of = built.select("v", "whole", F.explode("ws").alias("u")).select("v", "whole", "u.*").repartition("v")
-    u = top.join(of.hint("merge"), ["v", "pos"]).withColumn("gain", F.col("w") * F.col("top"))
+    u = top.join(spread(of), ["v", "pos"]).withColumn("gain", F.col("w") * F.col("top"))
     each = Window.partitionBy("v")
     sofar = each.orderBy("held", "pos").rowsBetween(Window.unboundedPreceding, -1)
     return u.select("v", "pos", "w", "whole", "gain", F.sum("gain").over(each).alias("reachable"), F.coalesce(F.sum("gain").over(sofar), F.lit(0.0)).alias("before"))
@@ -268,7 +272,7 @@ def _covering(units: DataFrame, built: DataFrame, terms: DataFrame) -> DataFrame
     spare = F.col("reachable") - (WHOLE - SLACK) * F.col("whole")
     asked = units.where((spare >= 0) & (F.col("before") <= spare)).select("v", "pos")
     flat = built.select("v", F.explode("flat").alias("c")).select("v", "c.pos", "c.term")
-    return flat.join(asked.hint("merge"), ["v", "pos"]).select("v", "term").distinct().join(terms.select("term", "entry").hint("merge"), "term").select("v", "entry").distinct()
+    return flat.join(spread(asked), ["v", "pos"]).select("v", "term").distinct().join(spread(terms.select("term", "entry")), "term").select("v", "entry").distinct()
 
 
 def _best_of_rest(open_: DataFrame, units: DataFrame, built: DataFrame, terms: DataFrame, entries: DataFrame) -> DataFrame:
@@ -277,18 +281,18 @@ def _best_of_rest(open_: DataFrame, units: DataFrame, built: DataFrame, terms: D
     Entries that are alike but for their anchors are one class here, and so are values with the same known units: what a value's other words weigh
     doesn't change which entry is best.
     """
-    flat = built.join(open_.hint("merge"), "v", "left_semi").select("v", "states", F.explode("flat").alias("c")).select("v", "states", "c.*")
-    known = flat.join(units.select("v", "pos", "w", "whole").hint("merge"), ["v", "pos"]).groupBy("v", "pos").agg(
+    flat = built.join(spread(open_), "v", "left_semi").select("v", "states", F.explode("flat").alias("c")).select("v", "states", "c.pos", "c.term", "c.sim")
+    known = flat.join(spread(units.select("v", "pos", "w", "whole")), ["v", "pos"]).groupBy("v", "pos").agg(
         F.first("states").alias("states"), F.first("w").alias("w"), F.first("whole").alias("whole"), F.array_sort(F.collect_set(F.struct("term", "sim"))).alias("cands"))
     known = known.groupBy("v").agg(F.first("states").alias("states"), F.first("whole").alias("whole"), F.array_sort(F.collect_list(F.struct("w", "cands"))).alias("units"))
     known = checkpointed(known.withColumn("key", F.sha2(F.to_json(F.struct("states", "units")), 256)))
     tails = terms.where("NOT anchor").groupBy("entry").agg(F.array_sort(F.collect_set(F.struct("term", "weight"))).alias("tail"))
     near = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 12).alias(c)
-    classes = tails.join(entries.select("entry", near("named"), near("slotted")).hint("merge"), "entry").groupBy("tail", "named", "slotted").agg(F.min("entry").alias("entry"))
+    classes = tails.join(spread(entries.select("entry", near("named"), near("slotted"))), "entry").groupBy("tail", "named", "slotted").agg(F.min("entry").alias("entry"))
     held = classes.select("entry", "named", "slotted", F.explode("tail").alias("t")).select("entry", "named", "slotted", "t.*")
     asked = known.groupBy("key").agg(F.first("states").alias("states"), F.first("units").alias("units")).select("key", "states", F.posexplode("units").alias("pos", "u"))
     asked = asked.select("key", "states", "pos", "u.w", F.explode("u.cands").alias("c")).select("key", "states", "pos", "w", "c.*")
-    x = asked.join(held.hint("merge"), "term").repartition("key", "entry")
+    x = asked.join(spread(held), "term").repartition("key", "entry")
     of_term, of_unit = Window.partitionBy("key", "entry", "term").orderBy(F.desc("sim"), "pos"), Window.partitionBy("key", "entry", "pos").orderBy(F.desc("sim"), "term")
     x = x.withColumn("by_term", F.row_number().over(of_term) == 1).withColumn("by_unit", F.row_number().over(of_unit) == 1)
     x = x.groupBy("key", "entry").agg(
@@ -297,7 +301,7 @@ def _best_of_rest(open_: DataFrame, units: DataFrame, built: DataFrame, terms: D
     )
     both = F.coalesce(F.try_divide("covers", "asked"), F.lit(0.0)) * F.col("covered")
     best = x.groupBy("key").agg(F.max(F.struct(F.round(both, 9).alias("near"), (-F.col("entry")).alias("back"), both.alias("both"))).alias("b"))
-    return known.select("v", "whole", "key").join(best.hint("merge"), "key").select("v", (-F.col("b.back")).alias("entry"), (F.lit(OTHER) * F.sqrt(F.col("b.both") / F.col("whole"))).alias("score"))
+    return known.select("v", "whole", "key").join(spread(best), "key").select("v", (-F.col("b.back")).alias("entry"), (F.lit(OTHER) * F.sqrt(F.col("b.both") / F.col("whole"))).alias("score"))
 
 
 def map_values(values: DataFrame, value_id: str, value: str, reference: DataFrame, threshold: float = 0.64, entry_id: str = "asset_id", name: str = "canonical_name",
@@ -312,5 +316,5 @@ def map_values(values: DataFrame, value_id: str, value: str, reference: DataFram
     ranked = rank_values(rows.select("value").distinct(), reference, entry_id, name, symbols)
     best = ranked.groupBy("value").agg(F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("entry")).alias("back"))).alias("b"))
     chosen = best.select(F.col("value").alias("v"), "b.score", F.when(F.col("b.score") >= threshold, -F.col("b.back")).alias("entry"))
-    out = rows.join(chosen, F.col("value") == F.col("v"), "left")
+    out = rows.join(spread(chosen), F.col("value") == F.col("v"), "left")
     return out.select(F.col("row").alias(value_id), F.coalesce("entry", F.lit(unmatched).cast("long")).alias(entry_id), F.coalesce("score", F.lit(0.0)).alias("score"))
